@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stemma.llm import components, mixing, packing, places, survivors
+from stemma.llm import components, mixing, packing, places, subjects, survivors
 from stemma.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,4 +46,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(p8_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p4_found, p4_survivors, p6_found, p7_containers, p7_fill, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas")).select("doc_id", "subject_code")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters by subject, a document with several subjects counted under each."""
+    found = p9_found(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return found.groupBy("subject_code").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p4_found, p4_survivors, p6_found, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_composition)}
