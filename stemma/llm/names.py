@@ -5,17 +5,17 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from stemma.llm.placetext import Near, fold_name, within
+from stemma.llm.placetext import Near, fold_letters, fold_name, within
 
 # Given names with the nicknames and the forms of other languages that people write for them.
 GIVEN = {
     "agnes": "aggie agnete", "alexander": "alex sandy aleksander", "ambrose": "brose ambrosius", "andrew": "andy anders andreas", "anna": "annie anne nancy",
     "barbara": "babs barbra barbel", "beatrice": "trixie beatrix", "benjamin": "ben", "catherine": "kitty kate katharina kathryn", "charles": "carlos karl charlie",
     "charlotte": "lotte lottie charlotta", "christopher": "kit xpher chris christoph", "daniel": "dan", "dorothea": "thea dora dorothy dolly", "edward": "ned ted eduard",
-    "egon": "", "elizabeth": "betty bess lizzie elisabeth", "frances": "fanny frankie franziska", "frederick": "fred fritz friedrich", "george": "jorge jorg georg",
+    "egon": "", "elizabeth": "betty bess lizzie elisabeth elis", "frances": "fanny frankie franziska", "frederick": "fred fritz friedrich", "george": "jorge jorg georg",
     "gertrude": "truus trudy gertrud", "gregory": "greg gregor", "gudrun": "", "henrietta": "etta hattie henriette", "henry": "hal harry henri heinrich hy", "hugo": "",
     "ignatius": "", "ines": "", "isabella": "bella isabel tibbie ysabel", "james": "jacques jim jamie jas", "johanna": "hanna joanna", "john": "jan johann juan jack jno",
-    "joseph": "pepe josef", "josephine": "pepa josie josefina", "kaspar": "", "kunigunde": "", "lawrence": "larry laurent lorenz", "leopold": "", "louisa": "luise lovisa lulu",
+    "joseph": "joe pepe josef", "josephine": "pepa josie josefina", "kaspar": "", "kunigunde": "", "lawrence": "larry laurent lorenz", "leopold": "", "louisa": "luise lovisa lulu",
     "margaret": "peggy maggie greta margarete", "martha": "mattie patty marthe", "mary": "molly polly may marie maria", "matthew": "matt matthias mattheus",
     "michael": "mick michel miguel", "nerys": "", "nicholas": "nick nicolas klaus", "odette": "", "oswald": "", "ottilie": "", "peter": "pete pedro pierre pieter",
     "philippa": "pippa filippa", "quentin": "", "quirina": "", "rebecca": "becky rebekka", "richard": "dick ricardo", "robert": "bob roberto rupert", "roland": "",
@@ -35,9 +35,9 @@ KINDS = {
 FILLERS = frozenset("and sons son bros brothers company co comp the of family fam house ltd inc der die und".split())
 
 _KIND_OF = {w: k for k, ws in KINDS.items() for w in ws.split()}
-_GIVEN_OF = {fold_name(v): fold_name(c) for c, vs in GIVEN.items() for v in (c, *vs.split())}
-_NEAR_GIVEN = Near(sorted(w for w in _GIVEN_OF if len(w) >= 4))
+_GIVEN_OF = {v: c for c, vs in GIVEN.items() for v in (c, *vs.split())}
 _CANON = sorted(set(_GIVEN_OF.values()))
+_NEAR_CANON, _NEAR_OTHER = Near(_CANON), Near(sorted(w for w in _GIVEN_OF if len(w) >= 4 and w not in GIVEN))
 _SOUNDS = tuple((re.compile(a), b) for a, b in (("eau|au", "o"), ("sch", "sh"), ("ck|c", "k"), ("ph", "f"), ("qu", "kv"), ("x", "ks"), ("dt", "t"), ("th", "t"), ("tz|z", "s"), ("w", "v"), ("ie|y|j", "i"), ("ai|ay|ey", "ei"), (r"(.)\1+", r"\1")))
 
 
@@ -53,18 +53,20 @@ def sound(word: str) -> str:
 @lru_cache(200_000)
 def given(word: str) -> str:
     """The usual form of a given name: nicknames, other languages, abbreviations and slips resolved; an initial stays one letter."""
-    dotted, w = word.endswith("."), fold_name(word)
+    dotted, w = word.endswith("."), fold_letters(word)
     if len(w) <= 1:
         return w
     if w in _GIVEN_OF:
         return _GIVEN_OF[w]
-    if dotted or len(w) <= 4:
+    if dotted:
         fits = [c for c in _CANON if c[0] == w[0] and len(c) > len(w) and _abbreviates(w, c)]
-        near = [c for c in fits if c.startswith(w[:-1])]
-        if dotted and fits:
-            return (near or fits)[0]
-    found = _NEAR_GIVEN.best(w, 1 if len(w) < 7 else 2)
-    return _GIVEN_OF[found] if found else sound(w)
+        if fits:
+            return next((c for c in fits if c.startswith(w[:-1])), fits[0])
+    most = 1 if len(w) < 7 else 2
+    for k in range(1, most + 1):
+        if len(w) > 2 * k and (found := _NEAR_CANON.best(w, k) or _NEAR_OTHER.best(w, k)):
+            return _GIVEN_OF[found]
+    return sound(w)
 
 
 def _abbreviates(short: str, name: str) -> bool:
@@ -125,7 +127,7 @@ def read_name(text: str | None) -> tuple[str, str, str, str]:
     elif len(kept) > 1:
         ws = [w for w, _ in kept]
         shout = [w.isupper() and len(w.strip(".")) > 1 for w in ws]
-        known = [fold_name(w) in _GIVEN_OF or len(w.strip(".")) == 1 or w.endswith(".") for w in ws]
+        known = [fold_letters(w) in _GIVEN_OF or len(w.strip(".")) == 1 or w.endswith(".") for w in ws]
         if (shout[0] and not shout[-1]) or (known[-1] and not known[0] and not (shout[-1] and not shout[0])):
             sur, names = ws[0], ws[1:]
         else:

@@ -47,14 +47,19 @@ _DIGRAPHS = (("ae", "a"), ("oe", "o"), ("ue", "u"), ("rn", "m"))
 _PLAIN = str.maketrans("0łøđ", "olod")
 
 
-def fold_name(text: str) -> str:
-    """Lower-case letters and digits with single blanks: accents, umlaut spellings, look-alike digits and rn for m folded."""
+def fold_letters(text: str) -> str:
+    """Lower-case letters and digits with single blanks; accents and look-alike digits are folded."""
     s = unicodedata.normalize("NFKD", text.casefold()).translate(_PLAIN)
     s = "".join(c if c.isalnum() else " " for c in s if not unicodedata.combining(c))
+    return " ".join(re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", s).split())
+
+
+def fold_name(text: str) -> str:
+    """As `fold_letters`, with umlaut spellings and rn for m folded too."""
+    s = fold_letters(text)
     for a, b in _DIGRAPHS:
         s = s.replace(a, b)
-    s = re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", s)
-    return " ".join(s.split())
+    return s
 
 
 def within(a: str, b: str, k: int) -> int:
@@ -89,6 +94,30 @@ def within(a: str, b: str, k: int) -> int:
     return row[m] if row[m] <= k else big
 
 
+def letters(name: str) -> int:
+    """Which letters a name has, as bits; k edits change at most 2 k of them."""
+    m = 0
+    for ch in name:
+        m |= 1 << (ord(ch) & 63)
+    return m
+
+
+class Near:
+    """Finds the nearest of a fixed list of words within k edits, letter sets first."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = [(len(w), letters(w), w) for w in words]
+
+    def best(self, word: str, k: int) -> str:
+        n, m, best, found = len(word), letters(word), k + 1, ""
+        for size, mask, w in self.words:
+            if -k <= size - n <= k and (mask ^ m).bit_count() <= 2 * k and (d := within(word, w, best - 1)) < best:
+                best, found = d, w
+                if best == 0:
+                    break
+        return found
+
+
 def bigrams(name: str) -> list[str]:
     """Padded letter pairs, a repeated one numbered, so that a name is a set."""
     padded, seen, out = f"^{name}$", {}, []
@@ -109,7 +138,7 @@ class PlaceReader:
             for a in names.split("|"):
                 shared.setdefault(fold_name(a), set()).add(c)
         self.countries = {a: "|".join(sorted(cs)) for a, cs in shared.items()}
-        self.long_countries = [a for a in self.countries if len(a) >= 5]
+        self.near_country = Near([a for a in self.countries if len(a) >= 5])
         self.names = counties
         self.counties: dict[str, str] = {}
         for c in counties:
@@ -120,6 +149,7 @@ class PlaceReader:
             if core.endswith("shire"):
                 self.counties.setdefault(core[:-5], core)
         self.county_list = list(self.counties)
+        self.near_county = Near(self.county_list)
         self.county_of = lru_cache(100_000)(self._county_of)
         self.country_of = lru_cache(100_000)(self._country_of)
 
@@ -133,11 +163,7 @@ class PlaceReader:
     def _country_of(self, part: str) -> str:
         if part in self.countries:
             return self.countries[part]
-        if len(part) >= 6:
-            for a in self.long_countries:
-                if within(part, a, 1) <= 1:
-                    return self.countries[a]
-        return ""
+        return self.countries.get(self.near_country.best(part, 1), "") if len(part) >= 6 else ""
 
     def _county_of(self, part: str) -> str:
         words = part.split()
@@ -151,14 +177,8 @@ class PlaceReader:
         if core.endswith("s") and core[:-1] in self.counties and self.counties[core[:-1]].endswith("shire"):
             return self.counties[core[:-1]]
         if len(core) >= 6:
-            k = 1 if len(core) < 9 else 2
-            best, found = k + 1, ""
-            for c in self.county_list:
-                n = within(core, c, k)
-                if n < best:
-                    best, found = n, self.counties[c]
-            if found:
-                return found
+            if found := self.near_county.best(core, 1 if len(core) < 9 else 2):
+                return self.counties[found]
             if len(core) >= 7:
                 cut = [c for c in self.county_list if c.startswith(core)]
                 if cut and len({self.counties[c] for c in cut}) == 1:
@@ -187,13 +207,13 @@ class PlaceReader:
         parts = kept or parts[:1]
         county = country = ""
         towns: list[str] = []
-        rest = []
-        for i, p in enumerate(parts):
-            whole = _LEAD.sub("", p) if i == 0 else p
-            if not country and (len(parts) > 1 or whole == p) and (c := self.country_of(whole)):
-                country = c
-            else:
-                rest.append(p)
+        # a known spelling of the country decides; only without one are slips looked for, at the ends
+        at = next((i for i in (*range(len(parts) - 1, -1, -1),) if parts[i] in self.countries), -1)
+        if at < 0 and len(parts) > 1:
+            at = next((i for i in (len(parts) - 1, 0) if self.country_of(parts[i])), -1)
+        if at >= 0:
+            country = self.country_of(parts[at])
+        rest = [p for i, p in enumerate(parts) if i != at]
         if len(rest) > 1:
             # the county is the part that reads as one; a first part only if another one is left to be the town
             for i in [*range(1, len(rest)), 0]:

@@ -7,16 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import components, mixing, packing, places, subjects, survivors
+from stemma.llm import components, matching, mixing, packing, places, subjects, survivors, variants
 from stemma.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with their confidence."""
+    left = table(spark, d, "individuals").withColumnRenamed("individual_id", "id")
+    right = table(spark, d, "rm_persons").withColumnRenamed("personid", "id")
+    return matching.match(left, right, table(spark, d, "placetable")).select(F.col("left_id").alias("individual_id"), F.col("right_id").alias("personid"), "confidence")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("individual_id", "personid")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return places.map_places(table(spark, d, "individuals").select("individual_id", "birth_place"), table(spark, d, "placetable")).select("individual_id", "placeid")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its class."""
+    return variants.name_classes(table(spark, d, "nametable"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.class_pairs(p3_classes(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     best = survivors.best_values(table(spark, d, "identities"), table(spark, d, "individuals"), table(spark, d, "placetable"))
     return best.select("canonical_ref", "field_name", "source_ref")
@@ -56,4 +76,4 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("subject_code").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p4_found, p4_survivors, p6_found, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_classes, p4_found, p4_survivors, p6_found, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_composition)}
