@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.text import fold
@@ -21,30 +21,49 @@ RANGE = r"\b(bet|between|from|to|zwischen|entre)\b"
 DAY, MONTH, YEAR, LOOSE, NONE = 4, 3, 2, 1, 0
 
 
-def parse_date(col: Column) -> Column:
-    """struct(precision, y, m, d, lo, hi) of a date as typed.
+def with_dates(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds a struct(precision, y, m, d, lo, hi) for each date column of `columns`, named by its value.
 
     precision: 4 day, 3 month, 2 year, 1 approximate, open or ranged, 0 no value (null, blank, placeholder, year 0000).
-    lo and hi bound the year; open bounds reach 5 years, approximate ones 2.
+    lo and hi bound the year; open bounds reach 5 years, approximate ones 2. The steps are separate projections, so that
+    no regular expression runs more than once a row.
     """
-    s = fold(F.trim(F.coalesce(col, F.lit(""))))
-    years = F.filter(F.regexp_extract_all(s, F.lit(r"(?<!\d)(\d{4})(?!\d)"), F.lit(1)), lambda y: y != "0000")
-    y1, y2 = F.get(years, F.lit(0)).cast("int"), F.get(years, F.lit(1)).cast("int")
-    iso_m = F.regexp_extract(s, r"\d{4}-(\d{1,2})(?!\d)", 1)
-    iso_d = F.regexp_extract(s, r"\d{4}-\d{1,2}-(\d{1,2})(?!\d)", 1)
+    for column, out in columns.items():
+        s, parts = f"__{out}_s", f"__{out}_p"
+        df = (
+            df.withColumn(s, fold(F.trim(F.coalesce(F.col(column), F.lit("")))))
+            .withColumn(parts, _date_parts(F.col(s)))
+            .withColumn(out, _date_of(F.col(parts)))
+            .drop(s, parts)
+        )
+    return df
+
+
+def _date_parts(s: Column) -> Column:
+    num = lambda c: F.when(F.length(c) > 0, c.cast("int"))
     dot = r"(\d{1,2})[./](\d{1,2})[./]\d{4}"
-    word = F.regexp_extract(s, r"(?<![a-z])(jan|ene|feb|fev|mar|apr|avr|abr|may|mai|juin|juil|jun|jul|aug|aou|ago|sep|oct|okt|nov|dec|dez|dic)[a-z]*", 1)
+    return F.struct(
+        F.transform(F.filter(F.regexp_extract_all(s, F.lit(r"(?<!\d)(\d{4})(?!\d)"), F.lit(1)), lambda y: y != "0000"), lambda y: y.cast("int")).alias("years"),
+        F.coalesce(num(F.regexp_extract(s, r"\d{4}-(\d{1,2})(?!\d)", 1)), num(F.regexp_extract(s, dot, 2))).alias("m"),
+        F.coalesce(num(F.regexp_extract(s, r"\d{4}-\d{1,2}-(\d{1,2})(?!\d)", 1)), num(F.regexp_extract(s, dot, 1))).alias("d"),
+        F.regexp_extract(s, r"(?<![a-z])(jan|ene|feb|fev|mar|apr|avr|abr|may|mai|juin|juil|jun|jul|aug|aou|ago|sep|oct|okt|nov|dec|dez|dic)[a-z]*", 1).alias("word"),
+        num(F.regexp_extract(s, r"(?<!\d)(\d{1,2})(?!\d)", 1)).alias("any_day"),
+        F.regexp_extract(s, f"{RANGE}|{ABOUT}|{BEFORE}|{AFTER}", 0).alias("qualifier"),
+    )
+
+
+def _date_of(p: Column) -> Column:
+    q = p["qualifier"]
+    about, before, after = q.rlike(ABOUT), q.rlike(BEFORE), q.rlike(AFTER)
+    y1, y2 = F.get(p["years"], F.lit(0)), F.get(p["years"], F.lit(1))
     of_word = F.lit(None).cast("int")
     for m, starts in MONTHS.items():
-        of_word = F.when(word.isin(*starts), F.lit(m)).otherwise(of_word)
-    num = lambda c: F.when(F.length(c) > 0, c.cast("int"))
-    month = F.coalesce(num(iso_m), num(F.regexp_extract(s, dot, 2)), of_word)
-    day = F.coalesce(num(iso_d), num(F.regexp_extract(s, dot, 1)), F.when(of_word.isNotNull(), num(F.regexp_extract(s, r"(?<!\d)(\d{1,2})(?!\d)", 1))))
+        of_word = F.when(p["word"].isin(*starts), F.lit(m)).otherwise(of_word)
+    month = F.coalesce(p["m"], of_word)
     month = F.when(month.between(1, 12), month)
+    day = F.coalesce(p["d"], F.when(of_word.isNotNull(), p["any_day"]))
     day = F.when(month.isNotNull() & day.between(1, 31), day)
-    ranged = s.rlike(RANGE) | y2.isNotNull()
-    about, before, after = s.rlike(ABOUT), s.rlike(BEFORE), s.rlike(AFTER)
-    loose = ranged | about | before | after
+    loose = (q != "") | y2.isNotNull()
     precision = F.when(y1.isNull(), NONE).when(loose, LOOSE).when(day.isNotNull(), DAY).when(month.isNotNull(), MONTH).otherwise(YEAR)
     lo = F.when(y2.isNotNull(), F.least(y1, y2)).when(before, y1 - 5).when(about, y1 - 2).otherwise(y1)
     hi = F.when(y2.isNotNull(), F.greatest(y1, y2)).when(after, y1 + 5).when(about, y1 + 2).otherwise(y1)
