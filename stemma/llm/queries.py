@@ -38,8 +38,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    best = survivors.best_values(table(spark, d, "identities"), table(spark, d, "individuals"), table(spark, d, "placetable"))
-    return best.select("canonical_ref", "field_name", "source_ref")
+    return survivors.best_values(table(spark, d, "identities"), table(spark, d, "individuals"), table(spark, d, "placetable"), values_too=False)
 
 
 def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
