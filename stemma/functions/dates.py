@@ -72,6 +72,38 @@ def _date_of(p: Column) -> Column:
     )
 
 
+# Month names of the standard form, and its words for a date that is not exact.
+STANDARD_MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+
+
+def with_normalized_dates(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds the standard form of each date column: `DD MON YYYY` with as much as is stated, after ABT, CAL, EST, BEF or AFT.
+
+    Ranges, dates that the calendar does not have and texts without a date stay as they are, trimmed; null stays null. A
+    dual year such as 1750/51 counts as its first.
+    """
+    for column, out in columns.items():
+        s, parts = f"__{out}_s", f"__{out}_p"
+        df = df.withColumn(s, fold(F.trim(F.col(column)))).withColumn(parts, _date_parts(F.regexp_replace(F.coalesce(F.col(s), F.lit("")), r"(\d{4})/\d{2}(?!\d)", "$1")))
+        df = df.withColumn(out, _standard(F.col(column), F.col(s), F.col(parts))).drop(s, parts)
+    return df
+
+
+def _standard(raw: Column, s: Column, p: Column) -> Column:
+    q = p["qualifier"]
+    year, of_word = F.get(p["years"], F.lit(0)), F.lit(None).cast("int")
+    for m, starts in MONTHS.items():
+        of_word = F.when(p["word"].isin(*starts), F.lit(m)).otherwise(of_word)
+    month = F.coalesce(p["m"], of_word)
+    day = F.coalesce(p["d"], F.when(of_word.isNotNull(), p["any_day"]))
+    word = F.when(q.rlike(r"\bcal"), "CAL").when(q == "est", "EST").when(q.rlike(ABOUT), "ABT").when(q.rlike(BEFORE), "BEF").when(q.rlike(AFTER), "AFT")
+    real = F.when(day.isNotNull(), F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).isNotNull()).otherwise(F.coalesce(month.between(1, 12), F.lit(True)))
+    name = F.get(F.array(*(F.lit(m) for m in STANDARD_MONTHS)), month - 1)
+    date = F.concat_ws(" ", word, F.when(month.isNotNull(), F.lpad(day.cast("string"), 2, "0")), name, F.lpad(year.cast("string"), 4, "0"))
+    keep = year.isNull() | (F.size(p["years"]) != 1) | ~real | q.rlike(RANGE)
+    return F.when(raw.isNotNull(), F.when(keep, F.trim(raw)).otherwise(date))
+
+
 def year_of(col: Column) -> Column:
     """The first free-standing run of four digits, null if there is none."""
     year = F.regexp_extract(F.coalesce(col, F.lit("")), r"\b(\d{4})\b", 1)

@@ -14,6 +14,7 @@ from stemma.functions.dates import year_of
 from stemma.operators.graph import cycle_members, reach
 from stemma.operators.relations import missing
 from stemma.sources import gedcom
+from stemma.tables import settle
 
 # Severities in order, and the bounds of plausible lives.
 SEVERITIES = ("critical", "high", "medium", "low")
@@ -74,10 +75,10 @@ def tree_findings(ls: DataFrame, as_of_year: int, root: str | None = None) -> Da
 
     as_of_year stands for the present. root is the pointer of the person whose ancestors come first in reports.
     """
-    recs = gedcom.records(ls)
-    bs = gedcom.blocks(ls)
-    people = gedcom.persons(bs, recs)
-    fam, back = gedcom.family_edges(bs, recs), gedcom.person_edges(bs, recs)
+    # every rule reads these; written once, none is parsed again
+    ls = settle(ls)
+    recs, bs = settle(gedcom.records(ls)), settle(gedcom.blocks(ls))
+    people, fam, back = settle(gedcom.persons(bs, recs)), settle(gedcom.family_edges(bs, recs)), settle(gedcom.person_edges(bs, recs))
     me = F.array("pointer")
     text = lambda c: F.col(c) == ""
     born, died = year_of(F.col("birth_date")), year_of(F.col("death_date"))
@@ -92,7 +93,7 @@ def tree_findings(ls: DataFrame, as_of_year: int, root: str | None = None) -> Da
     out.append(_row(missing(people, linked, ["source", "pointer"]), "MISSING_RELATIONSHIPS", "low", me))
     orphan = missing(people, linked.join(back.where("role = 'FAMC'").select("source", F.col("person").alias("pointer")), ["source", "pointer"]), ["source", "pointer"])
     out.append(_row(orphan, "MISSING_PARENT_LINK", F.when(F.col("pointer") == F.lit(root), "medium").otherwise("low"), me))
-    vital = gedcom.facts(bs, recs, tags=("BIRT", "DEAT", "OCCU", "RESI"))
+    vital = settle(gedcom.facts(bs, recs, tags=("BIRT", "DEAT", "OCCU", "RESI")))
     out.append(_row(vital.where(F.col("tag").isin("BIRT", "DEAT") & ~valid_date(F.col("date"))), "INVALID_DATE", "high", me, evidence=F.array("date")))
     summary = F.concat_ws("|", "date", "place", "value")
     several = vital.where("tag in ('BIRT', 'DEAT')").groupBy("source", "pointer", "tag").agg(F.sort_array(F.collect_set(summary)).alias("s")).where(F.size("s") > 1)

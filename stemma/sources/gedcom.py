@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stemma.functions.dates import with_normalized_dates
+
 # Fixed values of the format: a line, a pointer, and the tags whose value may be a pointer.
 LINE = r"^(0|[1-9][0-9]?)(?:\s+(@[^@\s]+@))?\s+([A-Za-z0-9_]+)(?:\s(.*))?$"
 POINTER = r"^@[^@\s]+@$"
@@ -169,8 +171,9 @@ def facts(bs: DataFrame, recs: DataFrame, of: str = "INDI", tags: tuple[str, ...
     address = F.array_join(F.filter(F.array("ADDR", "CITY", "STAE", "CTRY"), lambda x: x != ""), ", ")
     has_address = (F.col("ADDR") != "") | (F.col("CITY") != "") | (F.col("STAE") != "")
     value = F.trim(F.col("top.text"))
+    inside = with_normalized_dates(inside, {"DATE": "standard"})
     return inside.join(recs.where(F.col("tag") == of).select("source", "rec", "pointer"), ["source", "rec"]).select(
-        "source", "pointer", "block", F.col("top.tag").alias("tag"), F.when(F.upper(value) == "Y", "").otherwise(value).alias("value"), F.col("DATE").alias("date"),
+        "source", "pointer", "block", F.col("top.tag").alias("tag"), F.when(F.upper(value) == "Y", "").otherwise(value).alias("value"), F.col("standard").alias("date"),
         F.when((F.col("PLAC") == "") & has_address, address).otherwise(F.col("PLAC")).alias("place"), F.col("CTRY").alias("country"),
     )
 
