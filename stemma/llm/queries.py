@@ -76,3 +76,14 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_classes, p4_found, p4_survivors, p6_found, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_composition)}
+#: Plain SQL can say the components by closure; the other operators are tested against brute force and planted cases.
+SQL: dict[str, str] = {
+    "p6_found": """
+with recursive l as (select list_filter(coalesce(source_refs, []), lambda x: x is not null) refs, canonical_ref, disposition from match_links),
+m as (select refs, canonical_ref, refs[1] f from l where disposition = 'merged' and len(refs) > 0),
+e as (select f a, unnest(refs) b from m union select g a, f b from (select f, min(f) over (partition by canonical_ref) g from m where canonical_ref is not null)),
+w as (select a, b from e union select b, a from e),
+n as (select distinct unnest(refs) r from l),
+c as (select r, r s from n union select w.b, c.s from c join w on w.a = c.r)
+select r source_ref, min(s) group_ref from c group by 1""",
+}

@@ -141,7 +141,10 @@ class Model:
 
 
 def _sum_by(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(group, values[:, j], n) for j in range(values.shape[1])], axis=1)
+    out = np.zeros((n, values.shape[1]))
+    for j in range(values.shape[1]):
+        out[:, j] = np.bincount(group, values[:, j], n)
+    return out
 
 
 class Prepared:
