@@ -15,6 +15,7 @@ def reach(edges: DataFrame, roots: DataFrame, most_hops: int | None = None) -> D
     deep graphs neither grow the plan nor depend on a lost executor. Nodes reached by several ways count once; cycles end
     by themselves.
     """
+    edges = settle(edges.select("src", "dst"))  # read once a hop
     seen = settle(roots.select(F.col("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
     frontier, parts, hop = seen, [seen], 0
     while most_hops is None or hop < most_hops:
