@@ -21,11 +21,12 @@ MAX_REFERENCE = 100_000
 
 
 def reader_for(places: DataFrame) -> PlaceReader:
-    """A reader that knows the counties of the reference list, whose size is checked."""
-    rows = places.select("name").limit(MAX_REFERENCE + 1).collect()
+    """A reader that knows the counties of the reference list, whose size is checked, and the main names of its towns."""
+    rows = places.select("name", "alternate_names").limit(MAX_REFERENCE + 1).collect()
     if len(rows) > MAX_REFERENCE:
         raise ValueError(f"the reference list has more than {MAX_REFERENCE} rows")
-    return PlaceReader(sorted({p[1].strip() for r in rows if r["name"] and len(p := r["name"].split(",")) > 1 and p[1].strip()}))
+    aliases = {fold_name(a): fold_name(r["name"].split(",")[0]) for r in rows if r["name"] for a in r["alternate_names"] or () if a}
+    return PlaceReader(sorted({p[1].strip() for r in rows if r["name"] and len(p := r["name"].split(",")) > 1 and p[1].strip()}), aliases)
 
 
 def read_places(values: DataFrame, reader: PlaceReader) -> DataFrame:

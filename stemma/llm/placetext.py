@@ -131,7 +131,8 @@ def bigrams(name: str) -> list[str]:
 class PlaceReader:
     """Splits a place as typed with the counties and countries of a reference list, which is fixed and small."""
 
-    def __init__(self, counties: list[str]) -> None:
+    def __init__(self, counties: list[str], aliases: dict[str, str] | None = None) -> None:
+        self.aliases = aliases or {}
         # names of two countries mean both; the reader gives the pair
         shared: dict[str, set[str]] = {}
         for c, names in COUNTRIES.items():
@@ -154,7 +155,7 @@ class PlaceReader:
         self.country_of = lru_cache(100_000)(self._country_of)
 
     def __reduce__(self) -> tuple:
-        return PlaceReader, (self.names,)  # caches stay behind
+        return PlaceReader, (self.names, self.aliases)  # caches stay behind
 
     @staticmethod
     def core(folded: str) -> str:

@@ -22,13 +22,13 @@ from pyspark.sql import types as T
 from stemma.tables import settle
 
 #: The classifier is fitted on at most so many labelled documents (chosen by a hash of doc_id); every document is scored.
-MAX_LABELLED = 3_000
-DIMENSIONS, ROUNDS, RATE, DECAY = 16, 28, 0.2, 3e-6
+MAX_LABELLED = 6_000
+DIMENSIONS, ROUNDS, RATE, DECAY = 16, 34, 0.2, 3e-6
 #: Workers that hold the labelled documents and send one gradient each per round.
 WORKERS = 4
 #: A word or subword counts if so many labelled documents have it.
 LEAST_DOCUMENTS = 3
-THRESHOLD = 0.4
+THRESHOLD = 0.3
 #: Characters that are cut at a time; whole texts, so a longer one is taken alone.
 CHUNK_CHARS = 3_000_000
 #: A word with the share p of all words weighs RARE / (RARE + p) in the average, one that is not known UNKNOWN.
