@@ -76,10 +76,9 @@ def owner_pairs(keyed: DataFrame, person: str, source: str | None = None, limit:
 def capped_pairs(pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The pairs left by the greedy caps: rarest key first, at most so many pairs for a person on either end and in all.
 
-    Each choice depends on those before it, so sorted pairs pass through one task; first all but the rarest pairs_per_person
-    pairs of the whole search budget are cut by a distributed sort and limit, whose size is fixed by the limits.
+    Each choice depends on those before it, so the sorted pairs pass through one task. It holds a counter per person and one
+    batch; the sort spills to disk. Only this capped search does so; `owner_pairs` without caps has no such step.
     """
-    # a pair is kept only if fewer than the cap precede it at both ends; ordered input needs no more than people * cap rows
     ordered = pairs.orderBy("n", "key", "l", "r").coalesce(1)
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
