@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from stemma.functions import places as country
 from stemma.functions import text as tx
-from stemma.functions.dates import date_similarity, with_dates, year_of
+from stemma.functions.dates import date_similarity, with_dates, with_normalized_dates, year_of
 from stemma.operators import blocking, graph, relations
 from stemma.operators.snapshot_diff import snapshot_changes, transitions
 from stemma.plans import sqlgate
-from stemma.tables import table
+from stemma.tables import settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,6 +492,62 @@ def next_generation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sync_manifests").groupBy("tree_id").agg((F.max("generation") + 1).alias("next_generation"))
 
 
+# ---------------------------------------------------------------- files
+
+
+def _as_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines, records and blocks of the individuals written as GEDCOM, one text per source file."""
+    from stemma.sources import gedcom
+
+    blank = lambda c: F.coalesce(F.regexp_replace(c, r"[\r\n]", " "), F.lit(""))
+    record = F.concat(
+        F.lit("0 "), "pointer", F.lit(" INDI\n1 NAME "), blank(F.col("given_name")), F.lit(" /"), blank(F.col("surname")), F.lit("/\n1 BIRT\n2 PLAC "), blank(F.col("birth_place"))
+    )
+    people = table(spark, d, "individuals").where("pointer is not null")
+    body = people.groupBy(F.col("source_file").alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("individual_id", record.alias("t")))), lambda x: x["t"]), "\n").alias("b"))
+    ls = settle(gedcom.strict(gedcom.lines(body.select("source", F.lit(1).alias("ord"), F.concat(F.lit("0 HEAD\n"), "b", F.lit("\n0 TRLR\n")).alias("text")))))
+    return ls, gedcom.records(ls), gedcom.blocks(ls)
+
+
+@query("select source_file source, count(*) people, count(*) - count(distinct pointer) repeated from individuals where pointer is not null group by 1")
+def gedcom_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Records of every file, and pointers that it declares again."""
+    r = _as_files(spark, d)[1].where("tag = 'INDI'")
+    return r.groupBy("source").agg(F.count("*").alias("people"), (F.count("*") - F.countDistinct("pointer")).alias("repeated"))
+
+
+@query(r"""
+select distinct source_file source, pointer, trim(regexp_replace(coalesce(given_name, ''), '\s+', ' ', 'g')) given, trim(coalesce(surname, '')) surname from individuals where pointer is not null""")
+def gedcom_names(spark: SparkSession, d: str) -> DataFrame:
+    from stemma.sources import gedcom
+
+    _, recs, bs = _as_files(spark, d)
+    return gedcom.names(bs, recs).select("source", "pointer", "given", "surname").distinct()
+
+
+@query("select distinct source_file source, pointer, trim(coalesce(birth_place, '')) place from individuals where pointer is not null")
+def gedcom_places(spark: SparkSession, d: str) -> DataFrame:
+    from stemma.sources import gedcom
+
+    _, recs, bs = _as_files(spark, d)
+    return gedcom.facts(bs, recs, tags=("BIRT",)).select("source", "pointer", "place").distinct()
+
+
+@query(None)
+def date_standard(spark: SparkSession, d: str) -> DataFrame:
+    """Typed dates in the standard form; forms are tested one by one."""
+    return with_normalized_dates(table(spark, d, "individuals").select("individual_id", "birth_date"), {"birth_date": "standard"}).select("individual_id", "standard")
+
+
+@query(None)
+def profile_key_freq(spark: SparkSession, d: str) -> DataFrame:
+    """How many people have each key of the identity profile; the keys are tested one by one."""
+    from stemma.operators.identity import profile_keys
+
+    keys = profile_keys(*(F.col(c) for c in ("surname", "given_name", "gender", "birth_date", "birth_place", "death_date", "death_place", "full_name")))
+    return blocking.key_frequencies(blocking.explode_keys(table(spark, d, "individuals"), keys, "individual_id"))
+
+
 # ---------------------------------------------------------------- event log
 
 
