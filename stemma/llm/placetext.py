@@ -153,6 +153,7 @@ class PlaceReader:
         self.near_county = Near(self.county_list)
         self.county_of = lru_cache(100_000)(self._county_of)
         self.country_of = lru_cache(100_000)(self._country_of)
+        self._remembered = lru_cache(50_000)(self.read)
 
     def __reduce__(self) -> tuple:
         return PlaceReader, (self.names, self.aliases)  # caches stay behind
@@ -255,5 +256,9 @@ class PlaceReader:
                 return c, words[n:]
         return "", words
 
+    def read_once(self, text: str | None) -> tuple[int, list[str], str, str, bool]:
+        """As `read`, remembering texts that were read before."""
+        return self._remembered(text)
+
     def _exact_county(self, part: str) -> str:
         return self.counties.get(part) or (self.county_of(part) if len(part) >= 8 else "")
