@@ -455,8 +455,6 @@ def safe_source_semi_anti(spark: SparkSession, d: str) -> DataFrame:
     return relations.safe_only(table(spark, d, "part").select("p_partkey"), uses, "p_partkey", F.col("l_discount") < 0.02)
 
 
-_COUNTED = ("customer", "orders", "lineitem", "individuals", "nametable", "documents")
-
 
 @query(" union all ".join(f"select '{t}' table_name, count(*) n_rows, count(*) - count(distinct {k}) lost from {t} having count(*) - count(distinct {k}) > 0" for t, k in (("lineitem", "l_orderkey"), ("individuals", "source_ref"), ("nametable", "ownerid"), ("documents", "repository_ref"), ("orders", "o_custkey"))))
 def loss_accounting(spark: SparkSession, d: str) -> DataFrame:

@@ -179,7 +179,8 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame | None:
 def logical_tables(path: str) -> dict[str, str]:
     """The actual name of each logical table that the file has."""
     have = {t.lower(): t for t in table_columns(path)}
-    return {k: have[a.lower()] for k, names in TABLES.items() for a in names if a.lower() in have} | {}
+    found = ((k, next((have[a.lower()] for a in names if a.lower() in have), None)) for k, names in TABLES.items())
+    return {k: t for k, t in found if t}
 
 
 def alias(df: DataFrame, names: tuple[str, ...]) -> Column:
