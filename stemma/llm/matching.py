@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from stemma.tables import settle
 #: Similarities and the number of steps each is rounded to; their product bounds what the driver gets.
 GRID = {"surname": 10, "first": 10, "middle": 4, "date": 10, "place": 10}
 ROUNDS, OUTER, RIDGE, SURE = 60, 2, 0.004, 0.5
-#: A block of more than so many pairs is cut finer by further parts of the name; no pair of equal parts is lost.
+#: A block of more than so many pairs is hot: its pairs of equal further parts come first, the others in chunks of so many pairs.
 BLOCK_PAIRS = 200_000
 PARTS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("surname", T.StringType()), T.StructField("first", T.StringType()), T.StructField("middle", T.StringType()),
@@ -84,20 +85,56 @@ def block_keys(p: DataFrame) -> DataFrame:
     return p.select("rep", F.xxhash64(finer).alias("finer"), F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key"))
 
 
-def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(l, r): pairs of persons that share a block. Blocks whose pairs would pass BLOCK_PAIRS are cut by name, year and town."""
+def blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The keys of either side, as of block_keys, and (key, na, nb) of the hot blocks."""
     ka, kb = settle(block_keys(a)), settle(block_keys(b))
     na, nb = ka.groupBy("key").agg(F.count("*").alias("na")), kb.groupBy("key").agg(F.count("*").alias("nb"))
-    size = na.join(nb, "key").select("key", (F.col("na") * F.col("nb") > BLOCK_PAIRS).alias("hot"))
-    hot = size.where("hot").select("key")
+    return ka, kb, settle(na.join(nb, "key").where(F.col("na") * F.col("nb") > BLOCK_PAIRS))
+
+
+def candidates(a: DataFrame, b: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(l, r): pairs of persons that share a block, in a hot one with equal name, year and town; hot_rest has its other pairs."""
+    ka, kb, hot = found or blocks(a, b)
 
     def cut(k: DataFrame) -> DataFrame:
-        return k.join(hot.withColumn("hot", F.lit(True)), "key", "left").select("rep", "key", F.when(F.col("hot"), F.col("finer")).otherwise(F.lit(0)).alias("sub"))
+        return k.join(hot.select("key", F.lit(True).alias("hot")), "key", "left").select("rep", "key", F.when(F.col("hot"), F.col("finer")).otherwise(F.lit(0)).alias("sub"))
 
     left, right = cut(ka).withColumnRenamed("rep", "l"), cut(kb).withColumnRenamed("rep", "r")
     return left.join(right, ["key", "sub"]).select("l", "r").distinct()
 
 
+def hot_rest(a: DataFrame, b: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame | None:
+    """As compared: all pairs of the hot blocks that candidates leaves out, each once; None without a hot block.
+
+    Both sides of a block are dealt into chunks, and each chunk meets each of the other side, so that no group of the join
+    has many more than BLOCK_PAIRS pairs and no pair is lost. Persons travel with their chunk: pairs are compared as they arise.
+    """
+    ka, kb, hot = found
+    total = hot.agg(F.sum(F.col("na") * F.col("nb"))).first()[0]
+    if not total:
+        return None
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, total // (10 * BLOCK_PAIRS)))
+    width = max(1, isqrt(BLOCK_PAIRS))
+
+    def dealt(p: DataFrame, k: DataFrame, rep: str, own: str, other: str, person: str) -> DataFrame:
+        marked = k.join(hot.select("key", F.lit(True).alias("hot")), "key", "left")
+        held = marked.groupBy("rep", "finer").agg(F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hots"), F.collect_set(F.when(F.col("hot").isNull(), F.col("key"))).alias("colds")).where(F.size("hots") > 0)
+        whole = p.select("rep", F.struct(*(c for c in p.columns if c != "rep")).alias("who"))
+        chunks = lambda side: F.ceil(F.col(f"n{side}") / width)
+        rows = held.join(whole, "rep").withColumn("key", F.explode("hots")).join(hot, "key")
+        rows = rows.select(
+            "key", F.pmod("rep", chunks(own)).alias(f"c{own}"), F.explode(F.sequence(F.lit(0).cast("long"), chunks(other) - 1)).alias(f"c{other}"), F.col("rep").alias(rep),
+            F.struct("finer", "hots", "colds").alias(f"{person}_at"), F.col("who").alias(person),
+        )
+        return rows.repartition(parts, "key", "ca", "cb")
+
+    x, y = dealt(a, ka, "l", "a", "b", "x"), dealt(b, kb, "r", "b", "a", "y")
+    met = x.hint("merge").join(y, ["key", "ca", "cb"])
+    # a pair belongs to the least of the hot blocks that it shares
+    own = (F.col("x_at.finer") != F.col("y_at.finer")) & ~F.arrays_overlap("x_at.colds", "y_at.colds") & (F.col("key") == F.array_min(F.array_intersect("x_at.hots", "y_at.hots")))
+    return _on_grid(met.where(own))
+
+
 def _ratio(x: Column, y: Column) -> Column:
     return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
 
@@ -150,8 +187,19 @@ def compared(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(l, r, one small integer per similarity): the vectors of the pairs, on the grid."""
     x = a.select(F.col("rep").alias("l"), F.struct(*(c for c in a.columns if c != "rep")).alias("x"))
     y = b.select(F.col("rep").alias("r"), F.struct(*(c for c in b.columns if c != "rep")).alias("y"))
+    return _on_grid(pairs.join(x, "l").join(y, "r"))
+
+
+def _on_grid(met: DataFrame) -> DataFrame:
     v = _vector("x", "y")
-    return pairs.join(x, "l").join(y, "r").select("l", "r", *(F.round(v[n] * g).cast("tinyint").alias(n) for n, g in GRID.items()))
+    return met.select("l", "r", *(F.round(v[n] * g).cast("tinyint").alias(n) for n, g in GRID.items()))
+
+
+def all_vectors(a: DataFrame, b: DataFrame) -> DataFrame:
+    """As compared: the vectors of all pairs that share a block."""
+    found = blocks(a, b)
+    first, rest = compared(candidates(a, b, found), a, b), hot_rest(a, b, found)
+    return first if rest is None else first.unionByName(rest)
 
 
 class Mixture:
@@ -268,7 +316,7 @@ def match(left: DataFrame, right: DataFrame, places: DataFrame, least: float = S
     a, of_a = collapse(settle(read_persons(left, reader)))
     b, of_b = collapse(settle(read_persons(right, reader)))
     a, b = settle(a.where("surname != '' or first != ''")), settle(b.where("surname != '' or first != ''"))
-    vectors = settle(compared(candidates(a, b), a, b))
+    vectors = settle(all_vectors(a, b))
     found = fit_posteriors(vectors, a, b).where(F.col("confidence") >= least)
     x, y = of_a.select(F.col("rep").alias("l"), F.col("id").alias("left_id")), of_b.select(F.col("rep").alias("r"), F.col("id").alias("right_id"))
     return found.join(x, "l").join(y, "r").select("left_id", "right_id", "confidence")

@@ -163,6 +163,31 @@ def test_hot_block_is_cut(spark, monkeypatch):
     assert pairs.where("l = r").count() == n and pairs.count() < n * n
 
 
+def test_hot_blocks_lose_no_pair(spark, monkeypatch):
+    """One surname for all, so that its blocks are hot; the planted pairs differ in year or town, or miss one."""
+    cols = "id long, full_name string, alternate_names array<string>, birth_date string, birth_place string"
+    firsts = ["Anna", "Robert", "Thomas", "Ursula", "Veronica", "Hugo", "Egon", "Zelda"]
+    towns = ["Ely", "York", "Wixtuna", "Brodov", "Kalmar"]
+    left, right = [], []
+    for i in range(80):
+        first, day, year, town = f"{firsts[i % 8]} {'BCDFGHJKLM'[i // 8]}{'aeiou'[i % 5]}rt", i % 28 + 1, 1700 + 2 * i, towns[i % 5]
+        left.append((i, f"{first} Malden", [], f"{day} MAY {year}", f"{town}, Derseer Vale, England"))
+        born, place = [("", left[-1][4]), (f"ABT {year + 1}", ""), (f"{day} MAY {year + 1}", "Rostock, Unterland, Germany"), (f"{day} MAY {year}", left[-1][4])][i % 4]
+        right.append((1000 + i, f"{first} Malden", [], born, place))
+    sides = [spark.createDataFrame(rows, cols) for rows in (left, right)]
+    a, b = (matching.collapse(matching.read_persons(s, matching.PlaceReader([])))[0].localCheckpoint() for s in sides)
+    keys = [{(r["rep"], r["key"]) for r in matching.block_keys(p).collect()} for p in (a, b)]
+    want = {(x, y) for x, k in keys[0] for y, m in keys[1] if k == m}
+    places = spark.createDataFrame([], P)
+    whole = {(r["left_id"], r["right_id"]): r["confidence"] for r in matching.match(*sides, places).collect()}
+    assert sum((i, 1000 + i) in whole for i in range(80)) > 40
+    for bound in (50, 7):
+        monkeypatch.setattr(matching, "BLOCK_PAIRS", bound)
+        got = [(r["l"], r["r"]) for r in matching.all_vectors(a, b).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert {(r["left_id"], r["right_id"]): pytest.approx(r["confidence"]) for r in matching.match(*sides, places).collect()} == whole
+
+
 @pytest.mark.parametrize("text", ["", "naïve café", "<|endoftext|>", "a" * 3000, "  \n\t "])
 def test_tokens_round_trip(text):
     e = tokens.encoding(tokens.VOCABULARY)
