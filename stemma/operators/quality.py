@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.functions.dates import year_of
+from stemma.operators import blocking, identity, person
 from stemma.operators.graph import cycle_members, reach
 from stemma.operators.relations import missing
 from stemma.sources import gedcom
@@ -19,6 +20,7 @@ from stemma.tables import settle
 # Severities in order, and the bounds of plausible lives.
 SEVERITIES = ("critical", "high", "medium", "low")
 LIFESPAN, YOUNGEST_PARENT, OLDEST_PARENT, YOUNGEST_SPOUSE = 120, 12, 80, 12
+DUPLICATE_SCORE = 90
 
 
 def severity_rank(severity: Column) -> Column:
@@ -62,11 +64,11 @@ def person_findings(people: DataFrame, key: str) -> DataFrame:
     return people.select(F.col(key).cast("string").alias("id"), F.explode(found).alias("f")).select("f.code", "f.severity", "id")
 
 
-def _row(df: DataFrame, code: str, severity: str | Column, people: Column | None = None, families: Column | None = None, evidence: Column | None = None) -> DataFrame:
+def _row(df: DataFrame, code: str, severity: str | Column, people: Column | None = None, families: Column | None = None, evidence: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     none = F.array().cast("array<string>")
     return df.select(
         F.lit(code).alias("code"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), (people if people is not None else none).alias("people"),
-        (families if families is not None else none).alias("families"), (evidence if evidence is not None else none).alias("evidence"), F.col("source"),
+        (families if families is not None else none).alias("families"), (evidence if evidence is not None else none).alias("evidence"), F.col("source"), *more,
     )
 
 
@@ -133,7 +135,33 @@ def tree_findings(ls: DataFrame, as_of_year: int, root: str | None = None) -> Da
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)
-    return every.withColumn("finding_id", finding_id("code", "people", "families", "evidence", F.array("source")))
+    every = every.withColumn("sources", F.array("source")).unionByName(_duplicates(ls))
+    return every.withColumn("finding_id", finding_id("code", "people", "families", "evidence", "sources")).drop("sources")
+
+
+def _duplicates(ls: DataFrame) -> DataFrame:
+    """Pairs of persons, of one file or of several, whose score is high; nothing is merged. Also has `sources`, one for each person.
+
+    Candidates share a key that at most blocking.Limits.bucket persons have. Pointers may clash over the files, so they get
+    global names meanwhile.
+    """
+    given = settle(gedcom.global_pointers(ls))
+    own = settle(gedcom.renamed(ls, given))
+    people = settle(person.comparable(own))
+    keyed = person.blocking_keys(gedcom.persons(gedcom.blocks(own), gedcom.records(own)), people)
+    scored = identity.score_pairs(blocking.owner_pairs(keyed, "pointer").select("l", "r"), people, DUPLICATE_SCORE)
+    for side in ("l", "r"):
+        partners = people.select(F.col("pointer").alias(side), F.filter(F.col("partners.name"), lambda n: n != "").alias(f"{side}_partners"))
+        names = given.select(F.col("global").alias(side), F.col("source").alias(f"{side}_source"), F.col("pointer").alias(f"{side}_pointer"))
+        scored = scored.join(partners, side).join(names, side)
+    listed = lambda items: F.when(F.size(items) > 0, F.array_join(items, ", ")).otherwise("none")
+    evidence = F.array(
+        F.concat(F.lit("score: "), F.format_string("%.2f", F.col("score"))), F.concat(F.lit("compared: "), F.array_join("fields", ", ")), F.concat(F.lit("conflicts: "), listed(F.col("conflicts"))),
+        F.concat(F.lit("relatives: "), listed(F.concat("l_partners", "r_partners"))),
+    )
+    sources = F.array("l_source", "r_source")
+    both = scored.withColumn("source", F.array_join(F.array_distinct(sources), ", ")).withColumn("sources", sources)
+    return _row(both, "POSSIBLE_DUPLICATE", "high", F.array("l_pointer", "r_pointer"), evidence=evidence, more=("sources",)).distinct()
 
 
 def _married_names(bs: DataFrame, recs: DataFrame, fam: DataFrame, parents: DataFrame, years: DataFrame) -> DataFrame:

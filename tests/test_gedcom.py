@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from hypothesis import given, settings
@@ -113,6 +114,21 @@ def test_findings(spark, tree):
     assert text.startswith("# Quality report") and text.count("\n| ") > 5
 
 
+def test_possible_duplicates(spark):
+    who = lambda n, name, born, died, place: f"0 @I{n}@ INDI\n1 NAME {name}\n1 SEX F\n1 BIRT\n2 DATE {born}\n2 PLAC {place}\n1 DEAT\n2 DATE {died}\n2 PLAC {place}\n"
+    a = HEAD + who(1, "Ann /Gray/", "1 JAN 1900", "5 MAY 1980", "Ely, England") + who(2, "Anne /Gray/", "1 JAN 1900", "5 MAY 1980", "Ely, England") + who(3, "Zelda /Moor/", "2 FEB 1850", "1 APR 1911", "York, England") + "0 TRLR\n"
+    b = HEAD + who(1, "Zelda /Moor/", "2 FEB 1850", "1 APR 1911", "York, England") + who(9, "Hugo /Lund/", "1700", "1750", "Oslo, Norway") + "0 TRLR\n"
+    ls = gedcom.strict(gedcom.lines(spark.createDataFrame([("a.ged", 1, a), ("b.ged", 2, b)], "source string, ord int, text string")))
+    got = {tuple(sorted(r["people"])): r for r in quality.tree_findings(ls, 2024).where("code = 'POSSIBLE_DUPLICATE'").collect()}
+    # in one file, and over two files whose pointers clash
+    assert set(got) == {("@I1@", "@I2@"), ("@I1@", "@I3@")}
+    over = got["@I1@", "@I3@"]
+    assert over["severity"] == "high" and over["source"] in ("a.ged, b.ged", "b.ged, a.ged") and got["@I1@", "@I2@"]["source"] == "a.ged"
+    assert over["evidence"] == ["score: 100.00", "compared: name, birth date, birth place, birth country, death date, death place, death country, sex", "conflicts: none", "relatives: none"]
+    text = json.dumps(["POSSIBLE_DUPLICATE", ["@I1@", "@I3@"], [], sorted(over["evidence"]), ["a.ged", "b.ged"]], separators=(",", ":"))
+    assert over["finding_id"] == "possible-duplicate-" + hashlib.sha256(text.encode()).hexdigest()[:12]
+
+
 def test_document_findings(spark):
     bad = "1 NAME x\n0 HEAD\n0 HEAD\n0 @bad xx\n"
     ls = gedcom.lines(spark.createDataFrame([("x.ged", 1, "0 HEAD\n2 VERS 5.5.1\n0 @1a@ NOTE\n0 @1a@ NOTE\n0 TRLR\n0 TRLR\n0 HEAD\n1 NOTE " + "y" * 300)], "source string, ord int, text string"))
