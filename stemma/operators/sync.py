@@ -37,6 +37,25 @@ def bind_people(incoming: DataFrame, bindings: DataFrame, ids: DataFrame, master
     return every.join(best, ["person", "rank"]).groupBy("person", "how").agg(F.min("master").alias("master"), F.countDistinct("master").alias("n")).select("person", "master", "how", "n")
 
 
+def match_people(incoming: DataFrame, bindings: DataFrame, ids: DataFrame, master_ids: DataFrame, prints: DataFrame, master_prints: DataFrame, scores: DataFrame) -> DataFrame:
+    """As bind_people, over evidence: an earlier binding holds only with MATCH_SCORE, and a safe score is a way of its own.
+
+    scores is what identity.score_pairs says of (person, master) as (l, r); it must have the pairs of every way, and a pair
+    in conflict or without a score leads nowhere. All ways count together: n tells the masters that are left, how the best way.
+    """
+    s = scores.where(F.size("conflicts") == 0).select(F.col("l").alias("person"), F.col("r").alias("master"), "score", "safe")
+    way = lambda df, rank, how: df.select("person", "master", F.struct(F.lit(rank).alias("rank"), F.lit(how).alias("how")).alias("way"))
+    keys = ["person", "master"]
+    every = (
+        way(bindings.join(s.where(F.col("score") >= MATCH_SCORE), keys, "left_semi"), 1, "binding")
+        .unionAll(way(ids.join(master_ids.select("id", "master"), "id").join(s, keys, "left_semi"), 2, "identifier"))
+        .unionAll(way(prints.join(master_prints.select("print", "master"), "print").join(s, keys, "left_semi"), 3, "fingerprint"))
+        .unionAll(way(s.where("safe"), 4, "score"))
+    )
+    found = every.join(incoming.select("person").distinct(), "person", "left_semi").groupBy("person").agg(F.min(F.struct("way", "master")).alias("best"), F.countDistinct("master").alias("n"))
+    return found.select("person", F.col("best.master").alias("master"), F.col("best.way.how").alias("how"), "n")
+
+
 def fingerprint(full_name: Column, birth_date: Column, birth_place: Column, death_date: Column, death_place: Column, sex: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *(F.lower(squash(F.coalesce(c, F.lit("")))) for c in (full_name, birth_date, birth_place, death_date, death_place)), F.upper(F.coalesce(sex, F.lit("")))), 256)
 

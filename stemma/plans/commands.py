@@ -1,4 +1,4 @@
-"""What a user runs: merging files, cutting out a subtree, a quality report, exporting a tree, bringing a master up to date."""
+"""What a user runs: merging files, cutting out a subtree, a quality report, exporting a tree."""
 
 from __future__ import annotations
 

@@ -131,3 +131,18 @@ def test_bindings(spark):
     p = lambda rows, cols: spark.createDataFrame(rows, cols)
     got = sync.bind_people(p([("x",), ("y",), ("z",)], "person string"), p([("x", "m1")], "person string, master string"), p([("x", "i2"), ("y", "i2"), ("y", "i3")], "person string, id string"), p([("m2", "i2"), ("m3", "i3")], "master string, id string"), p([("z", "f")], "person string, print string"), p([("m4", "f")], "master string, print string"))
     assert {(r["person"], r["master"], r["how"], r["n"]) for r in got.collect()} == {("x", "m1", "binding", 1), ("y", "m2", "identifier", 2), ("z", "m4", "fingerprint", 1)}
+
+
+def test_bindings_need_evidence(spark):
+    p = lambda rows, cols: spark.createDataFrame(rows, cols)
+    people = [(x,) for x in ("held", "drifted", "clashing", "changed", "twice", "unsafe")]
+    bound = [("held", "m1"), ("drifted", "m2"), ("clashing", "m3"), ("unsafe", "m9")]
+    scores = [
+        ("held", "m1", 80.0, [], False), ("drifted", "m2", 77.0, [], False), ("clashing", "m3", 84.0, ["sex"], False), ("changed", "m4", 96.0, [], True), ("twice", "m5", 97.0, [], True), ("twice", "m6", 60.0, [], False),
+        ("unsafe", "m7", 90.0, [], False),
+    ]
+    got = sync.match_people(
+        p(people, "person string"), p(bound, "person string, master string"), p([("twice", "i")], "person string, id string"), p([("m6", "i")], "master string, id string"), p([], "person string, print string"), p([], "master string, print string"),
+        p(scores, "l string, r string, score double, conflicts array<string>, safe boolean"),
+    )
+    assert {(r["person"], r["master"], r["how"], r["n"]) for r in got.collect()} == {("held", "m1", "binding", 1), ("changed", "m4", "score", 1), ("twice", "m6", "identifier", 2)}
