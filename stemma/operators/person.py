@@ -10,6 +10,7 @@ from stemma.sources import gedcom
 from stemma.tables import settle
 
 MOST_RELATIVES = 16  # fixed value: relatives of a role that take part in blocking
+NAME_KEYS = r"^(sn|gn|name|name-exact|name-birth)\|"
 
 
 def _ordered(items: Column, *fields: str) -> Column:
@@ -57,8 +58,13 @@ def comparable(ls: DataFrame) -> DataFrame:
 
 
 def blocking_keys(people: DataFrame, comparable_people: DataFrame) -> DataFrame:
-    """(pointer, source, key) from flat persons and their relatives: the profile, and the names of relatives by role."""
-    flat = people.select("pointer", "source", F.explode(profile_keys(*(F.col(c) for c in ("surname", "given", "gender", "birth_date", "birth_place", "death_date", "death_place", "full_name")))).alias("key"))
+    """(pointer, source, key) from flat persons and their relatives: the profile, name keys of every other name, and the names of relatives by role."""
+    profile = lambda surname, given, name: profile_keys(surname, given, *(F.col(c) for c in ("gender", "birth_date", "birth_place", "death_date", "death_place")), name)
+    flat = people.select("pointer", "source", F.explode(profile(F.col("surname"), F.col("given"), F.col("full_name"))).alias("key"))
+    # the last word of a displayed name is its surname
+    others = people.withColumn("other", F.explode("alternate_names")).where("trim(other) != ''").withColumn("words", F.split(F.trim("other"), r"\s+"))
+    named = profile(F.element_at("words", -1), F.array_join(F.slice("words", F.lit(1), F.size("words") - 1), " "), F.col("other"))
+    flat = flat.unionAll(others.select("pointer", "source", F.explode(F.filter(named, lambda k: k.rlike(NAME_KEYS))).alias("key")))
     plain = lambda c, n: F.substring(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), 1, n)
     year = lambda d: F.coalesce(F.regexp_extract(d, r"\b(\d{4})\b", 1), F.lit(""))
     roles = None

@@ -1,5 +1,6 @@
 import pytest
 
+from stemma.operators import blocking, person
 from stemma.plans import commands
 from stemma.sources import gedcom, gedcom_writer
 
@@ -41,3 +42,14 @@ def test_subtree(spark, files):
     assert got == {"@I1@", "@I2@", "@F1@", "@S1@", "@R1@"}
     with pytest.raises(ValueError):
         commands.subtree(ls, "nobody")
+
+
+def test_every_name_has_keys(spark):
+    a = HEAD + indi(1, "Ann /Gray/", "1900", "1980", "1 NAME Ann /Black/") + "0 TRLR\n"
+    b = HEAD + "0 @I2@ INDI\n1 NAME Ann /Black/\n0 TRLR\n"
+    ls = gedcom.strict(gedcom.lines(spark.createDataFrame([("a", 1, a), ("b", 2, b)], "source string, ord int, text string")))
+    people = gedcom.persons(gedcom.blocks(ls), gedcom.records(ls))
+    keyed = person.blocking_keys(people, person.comparable(ls))
+    assert keyed.where("key = 'name-exact|annblack'").count() == 2
+    assert {r["key"] for r in keyed.where("pointer = '@I1@' and key like 'name-birth|%'").collect()} == {"name-birth|gray|1900|F", "name-birth|black|1900|F"}
+    assert {(r["l"], r["r"]) for r in blocking.owner_pairs(keyed, "pointer", "source").collect()} == {("@I1@", "@I2@")}
