@@ -15,11 +15,13 @@ from stemma.functions.dates import with_dates
 from stemma.llm.names import read_name
 from stemma.llm.placetext import PlaceReader
 from stemma.llm.places import reader_for
-from stemma.tables import settle
+from stemma.tables import drop_settled, settle
 
 #: Similarities and the number of steps each is rounded to; their product bounds what the driver gets.
 GRID = {"surname": 10, "first": 10, "middle": 4, "date": 10, "place": 10}
-ROUNDS, OUTER, RIDGE, SURE = 60, 2, 0.004, 0.5
+ROUNDS, OUTER, RIDGE, SURE = 60, 20, 0.004, 0.5
+#: EM under transitivity ends when no posterior moves by as much, at the latest after OUTER rounds.
+SETTLED = 0.01
 #: A block of more than so many pairs is hot: its pairs of equal further parts come first, the others in chunks of so many pairs.
 BLOCK_PAIRS = 200_000
 PARTS = T.StructType([
@@ -246,8 +248,9 @@ def fit_posteriors(vectors: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(l, r, confidence) of the pairs whose posterior is not negligible.
 
     Pairs with one vector share one posterior, so EM runs over the distinct vectors with their numbers, at most the product
-    of GRID. Between its runs, transitivity is enforced: if l matches r best, another pair (l, r') can be no likelier than
-    r and r' being one person allow, and likewise for r; the posteriors so bounded go into the next maximisation.
+    of GRID. Then transitivity is enforced in each round: if l matches r best, another pair (l, r') can be no likelier than
+    r and r' being one person allow, and likewise for r; the posteriors so bounded go into the next maximisation, until they
+    settle.
     """
     spark = vectors.sparkSession
     names = list(GRID)
@@ -258,18 +261,22 @@ def fit_posteriors(vectors: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     mix = Mixture(x, table["count"].to_numpy())
     mix.fit(ROUNDS)
     bounded = None
-    for step in range(OUTER):
+    for _ in range(OUTER):
         table["p"] = mix.post
         known = spark.createDataFrame(table.loc[table["p"] > 0.01, [*names, "p"]].astype(dict.fromkeys(names, "int8")), T.StructType([*(T.StructField(n, T.ByteType()) for n in names), T.StructField("p", T.DoubleType())]))
         # the vectors are bounded by the grid, so this side is
         scored = settle(vectors.join(F.broadcast(known), names).select("l", "r", *names, "p"))
+        if bounded is not None:
+            drop_settled(bounded)
         bounded = settle(_transitive(scored, a, b, mix, names))
-        if step == OUTER - 1:
-            break
+        drop_settled(scored)
         cut = bounded.groupBy(*names).agg(F.sum("confidence").alias("mass")).toPandas()
         merged = table.merge(cut, on=names, how="left")
+        before = mix.post
         mix.maximise(np.where(merged["mass"].notna(), merged["mass"].fillna(0) / merged["count"], mix.post))
         mix.post = mix.expect()
+        if np.abs(before - mix.post).max() < SETTLED:
+            break
     return bounded.select("l", "r", "confidence")
 
 

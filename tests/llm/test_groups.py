@@ -147,6 +147,22 @@ def test_matching_finds_planted_pairs(spark):
     assert got.confidence.between(0.5, 1).all()
 
 
+def test_posteriors_settle(spark, monkeypatch):
+    """Transitivity is in EM until no posterior moves: rows of one surname whose given names and dates agree only in part."""
+    r = random.Random(5)
+    firsts = ["Anna", "Robert", "Thomas", "Ursula", "Hugo", "Egon"]
+    left, right = [], []
+    for i in range(300):
+        s, f, y = f"{r.choice('BDFGKLM')}{r.choice('aeiou')}{r.choice('rstvz')}olo", r.choice(firsts), r.randint(1780, 1800)
+        left.append((i, f"{f} {s}", [], f"{r.randint(1, 28)} MAY {y}", r.choice(["Ely", "York", ""])))
+        right.append((1000 + i, f"{f if i % 3 else f[0] + '.'} {s}", [], left[-1][3] if i % 4 else f"ABT {y}", left[-1][4] if i % 5 else ""))
+    cols = "id long, full_name string, alternate_names array<string>, birth_date string, birth_place string"
+    posts, expect = [], matching.Mixture.expect
+    monkeypatch.setattr(matching.Mixture, "expect", lambda mix: posts.append(expect(mix)) or posts[-1])
+    assert matching.match(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols), spark.createDataFrame([], P)).count() > 100
+    assert np.abs(posts[-1] - posts[-2]).max() < 0.01
+
+
 def test_matching_nothing(spark):
     cols = "id long, full_name string, alternate_names array<string>, birth_date string, birth_place string"
     e = spark.createDataFrame([], cols)
