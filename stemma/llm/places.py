@@ -118,7 +118,8 @@ def match_places(values: DataFrame, places: DataFrame, threshold: float = 0.4, s
 
     values has one column of distinct texts with their numbers of rows: (value, n). Readings with the same town, county
     and country are matched once. A pair counts from `sure` on, between `threshold` and `sure` only if an exact check finds few edits: 2, 1 in names
-    of less than 7 letters, 3 with the right county.
+    of less than 7 letters, 3 with the right county. Below `threshold` a pair counts only with the right county and at most 3 edits,
+    in names of less than 7 letters one for three letters.
     A stated county or country that contradicts a place rules it out. Among equals, the place that more rows name
     together with its county wins, then the smaller placeid. Blank texts and those that state no place give 0.
     """
@@ -132,11 +133,19 @@ def match_places(values: DataFrame, places: DataFrame, threshold: float = 0.4, s
     r = refs.select(F.col("name").alias("right_name"), "placeid", F.col("county").alias("ref_county"), F.col("country").alias("ref_country"))
     edits = F.levenshtein("town", "right_name")
     same_county = F.col("county") == F.col("ref_county")
+    # few edits can leave few letter pairs; towns of a stated county meet all listed towns of that county
+    slips = F.when(F.length("town") >= 7, 3).otherwise(F.floor(F.length("town") / 3))
+    local = readings.where("county != ''").select("town", "county").distinct().join(r, same_county).where((F.abs(F.length("town") - F.length("right_name")) <= 3) & (edits <= slips))
+    local = local.select(F.col("town").alias("left_name"), "right_name").distinct().join(left.select(F.col("name").alias("left_name"), F.col("grams").alias("x")), "left_name").join(right.select(F.col("name").alias("right_name"), F.col("grams").alias("y")), "right_name")
+    both = F.size(F.array_intersect("x", "y"))
+    local = local.select("left_name", "right_name", (both / (F.size("x") + F.size("y") - both)).alias("jaccard")).where(F.col("jaccard") < threshold - 1e-9)
+    pairs = pairs.unionByName(local)
     found = (
         readings.join(pairs, F.col("town") == F.col("left_name"))
         .join(r, "right_name")
         .where((F.col("county") == "") | same_county)
         .where((F.col("country") == "") | F.array_contains(F.split("country", r"\|"), F.col("ref_country")))
+        .where((F.col("jaccard") >= threshold - 1e-9) | same_county)
         .where((F.col("jaccard") >= sure) | (edits <= F.when(same_county, 3).when(F.length("town") < 7, 1).otherwise(2)))
         .groupBy("town", "county", "country", "n", "placeid")
         .agg(F.max("jaccard").alias("jaccard"), F.max(same_county.cast("int")).alias("told"))

@@ -133,3 +133,10 @@ def test_name_classes(spark):
 
 def test_alphabet_of_sounds():
     assert all(names.sound(x).isalnum() for x in string.ascii_lowercase)
+
+
+def test_slips_in_a_stated_county(spark):
+    places = spark.createDataFrame([(7, "Wixtuna, Derseer Vale, England", "England", []), (8, "Ely, Derseer Vale, England", "England", [])], "placeid int, name string, country string, alternate_names array<string>")
+    texts = ["Wlxtnna, Derseer Vale, England", "Wlxtnna", "Ulm, Derseer Vale, England", "Wixtuna"]
+    got = {r["individual_id"]: r["placeid"] for r in map_places(spark.createDataFrame(list(enumerate(texts)), "individual_id long, birth_place string"), places).collect()}
+    assert got == {0: 7, 1: 0, 2: 0, 3: 7}
