@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import isqrt
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.functions.dates import with_dates
+from stemma.llm.aliases import abbreviates, given_classes, is_short, with_roots
 from stemma.llm.names import read_name
 from stemma.llm.placetext import PlaceReader
 from stemma.llm.places import reader_for
@@ -25,31 +27,58 @@ SETTLED = 0.01
 #: A block of more than so many pairs is hot: its pairs of equal further parts come first, the others in chunks of so many pairs.
 BLOCK_PAIRS = 200_000
 PARTS = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("surname", T.StringType()), T.StructField("first", T.StringType()), T.StructField("middle", T.StringType()),
-    T.StructField("suffix", T.StringType()), T.StructField("others", T.ArrayType(T.StringType())), T.StructField("town", T.StringType()), T.StructField("county", T.StringType()),
-    T.StructField("country", T.StringType()), T.StructField("birth_date", T.StringType()),
+    T.StructField("id", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("surname", "first", "middle", "suffix")), T.StructField("others", T.ArrayType(T.StringType())),
+    T.StructField("birth_place", T.StringType()), T.StructField("birth_date", T.StringType()),
 ])
 
 
-def read_persons(persons: DataFrame, reader: PlaceReader) -> DataFrame:
-    """(id, surname, first, middle, suffix, others, town, county, country, d): the comparable parts of each person.
+def read_names(persons: DataFrame) -> DataFrame:
+    """(id, surname, first, middle, suffix, others, birth_place, birth_date): the parts of each person's names as typed.
 
-    persons has id, full_name, alternate_names, birth_date and birth_place. others holds the surnames of the alternate
-    names. A town under another of its names counts as its main one. Parts that are not stated are empty.
+    others holds the surnames of the alternate names. Parts that are not stated are empty.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, name, more, place, born in zip(b["id"], b["full_name"], b["alternate_names"], b["birth_place"], b["birth_date"], strict=True):
-                surname, first, middle, suffix = read_name(name)
-                others = sorted({s for x in (more if more is not None else ()) if (s := read_name(x)[0]) and s != surname})
-                _, towns, county, country, _ = reader.read_once(place)
-                out.append((i, surname, first, middle, suffix, others, reader.aliases.get(towns[0], towns[0]) if towns else "", county, country, born))
+                own = read_name(name)
+                out.append((i, *own, sorted({s for x in (more if more is not None else ()) if (s := read_name(x)[0]) and s != own[0]}), place, born))
             yield pd.DataFrame(out, columns=PARTS.names)
 
-    parts = persons.select("id", "full_name", "alternate_names", "birth_place", "birth_date").mapInPandas(read, PARTS)
-    return with_dates(parts, {"birth_date": "d"}).drop("birth_date")
+    return persons.select("id", "full_name", "alternate_names", "birth_place", "birth_date").mapInPandas(read, PARTS)
+
+
+def read_towns(values: DataFrame, reader: PlaceReader) -> DataFrame:
+    """(birth_place, town, county, country) for distinct texts; a town under another of its names counts as its main one."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for place in b["birth_place"]:
+                _, towns, county, country, _ = reader.read(place)
+                out.append((place, reader.aliases.get(towns[0], towns[0]) if towns else "", county, country))
+            yield pd.DataFrame(out, columns=["birth_place", "town", "county", "country"])
+
+    return values.mapInPandas(read, "birth_place string, town string, county string, country string")
+
+
+def read_persons(persons: list[DataFrame], reader: PlaceReader, evidence: DataFrame | None = None) -> list[DataFrame]:
+    """(id, surname, first, middle, suffix, others, town, county, country, d): the comparable parts of the persons of each source.
+
+    Each source has id, full_name, alternate_names, birth_date and birth_place. Given names are replaced by their roots, which
+    are learned from the alternate names of all sources and of evidence; equal places of all sources are read once.
+    """
+    read = [settle(read_names(p)) for p in persons]
+    values, told, uses = (p.select("birth_place") for p in read), (p.select("full_name", "alternate_names") for p in [*persons, *([] if evidence is None else [evidence])]), (p.select("first", "middle") for p in read)
+    union = lambda parts: reduce(DataFrame.unionAll, parts)
+    towns = settle(read_towns(union(values).where(F.trim("birth_place") != "").distinct(), reader))
+    classes = given_classes(union(uses), union(told))
+    out = []
+    for p in read:
+        placed = with_roots(p, classes, ["first", "middle"]).join(towns, "birth_place", "left").drop("birth_place").fillna("", ["town", "county", "country"])
+        out.append(with_dates(placed, {"birth_date": "d"}).drop("birth_date"))
+    return out
 
 
 def collapse(read: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,19 +98,19 @@ def block_keys(p: DataFrame) -> DataFrame:
 
     Two keys of one hash only bring more pairs.
     """
-    initial = F.substring("first", 1, 1)
+    initial, whole = F.substring("first", 1, 1), ~is_short(F.col("first")) & (F.col("first") != "")
     day = F.when(F.col("d.d").isNotNull(), F.concat_ws("|", F.lit("d"), "d.y", "d.m", "d.d"))
     month = F.when(F.col("d.m").isNotNull() & (initial != ""), F.concat_ws("|", F.lit("m"), "d.y", "d.m", initial, F.substring("town", 1, 3)))
     names = F.transform(
         F.filter(F.array_distinct(F.concat(F.array("surname"), "others")), lambda s: s != ""), lambda s: F.concat_ws("|", F.lit("n"), _skeleton(s), initial)
     )
-    lived = F.when((F.length("first") > 1) & (F.col("town") != "") & F.col("d.y").isNotNull(), F.concat_ws("|", F.lit("t"), "first", F.substring("town", 1, 5), "d.y"))
+    lived = F.when(whole & (F.col("town") != "") & F.col("d.y").isNotNull(), F.concat_ws("|", F.lit("t"), "first", F.substring("town", 1, 5), "d.y"))
     tail = F.when((F.length("surname") > 4) & F.col("d.y").isNotNull(), F.concat_ws("|", F.lit("y"), F.expr("right(surname, 4)"), F.substring("surname", 1, 2), initial, "d.y"))
     # halves of the surname with the town, for slips in the other half and dates that are missing
     home = (F.length("surname") > 4) & (initial != "") & (F.col("town") != "")
     head = F.when(home, F.concat_ws("|", F.lit("h"), F.substring("surname", 1, 4), initial, F.substring("town", 1, 4)))
     foot = F.when(home, F.concat_ws("|", F.lit("f"), F.expr("right(surname, 4)"), "first", F.expr("right(town, 5)"), F.substring("town", 1, 1)))
-    front = F.when((F.length("surname") > 4) & (F.length("first") > 1), F.concat_ws("|", F.lit("s"), F.substring("surname", 1, 5), "first"))
+    front = F.when((F.length("surname") > 4) & whole, F.concat_ws("|", F.lit("s"), F.substring("surname", 1, 5), "first"))
     keys = F.array_compact(F.concat(F.array(day, month, lived, tail, head, foot, front), names))
     finer = F.concat_ws("|", "first", F.substring("surname", 1, 3), "d.y", F.substring("town", 1, 4))
     return p.select("rep", F.xxhash64(finer).alias("finer"), F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key"))
@@ -149,7 +178,7 @@ def _vector(x: str, y: str) -> dict[str, Column]:
     surname = F.when((a["surname"] == "") | (b["surname"] == ""), 0.5).otherwise(F.greatest(own, over(a["others"], b["surname"]), over(b["others"], a["surname"]), F.when(F.arrays_overlap(a["others"], b["others"]), 1.0).otherwise(0.0)))
 
     def names(p: Column, q: Column) -> Column:
-        short = ((F.length(p) == 1) & q.startswith(p)) | ((F.length(q) == 1) & p.startswith(q))
+        short = (is_short(p) & abbreviates(p, q)) | (is_short(q) & abbreviates(q, p))
         return F.when(p == q, 1.0).when(short, 0.9).otherwise(_ratio(p, q) * 0.7)
 
     first = F.when((a["first"] == "") | (b["first"] == ""), 0.5).otherwise(names(a["first"], b["first"]))
@@ -313,15 +342,14 @@ def _posterior(vectors: DataFrame, mix: Mixture, names: list[str]) -> DataFrame:
     return vectors.withColumn("q", q(*names))
 
 
-def match(left: DataFrame, right: DataFrame, places: DataFrame, least: float = SURE) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, places: DataFrame, least: float = SURE, evidence: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id, confidence): all pairs of rows that describe one person with at least this posterior.
 
     Both sides have id, full_name, alternate_names, birth_date and birth_place. Rows that compare alike are matched once and
-    expanded at the end. Rows without a name match nothing; other missing parts neither speak for a match nor against it.
+    expanded at the end. evidence has full_name and alternate_names of more persons, from which only variants of given names are learned. Rows without a name match nothing; other missing parts neither speak for a match nor against it.
     """
     reader = reader_for(places)
-    a, of_a = collapse(settle(read_persons(left, reader)))
-    b, of_b = collapse(settle(read_persons(right, reader)))
+    (a, of_a), (b, of_b) = (collapse(settle(p)) for p in read_persons([left, right], reader, evidence))
     a, b = settle(a.where("surname != '' or first != ''")), settle(b.where("surname != '' or first != ''"))
     vectors = settle(all_vectors(a, b))
     found = fit_posteriors(vectors, a, b).where(F.col("confidence") >= least)

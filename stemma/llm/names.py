@@ -1,44 +1,23 @@
-"""Reading names as typed: given names, surname, suffix and kind, under one spelling for each sound."""
+"""Reading names as typed: the surname, the given names and the suffix of a person, the words of an organisation.
+
+Which given names and which words stand for each other isn't listed here; `stemma.llm.aliases` learns it from the names.
+"""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
-from stemma.llm.placetext import Near, fold_letters, fold_name, within
-
-# Given names with the nicknames and the forms of other languages that people write for them.
-GIVEN = {
-    "agnes": "aggie agnete", "alexander": "alex sandy aleksander", "ambrose": "brose ambrosius", "andrew": "andy anders andreas", "anna": "annie anne nancy",
-    "barbara": "babs barbra barbel", "beatrice": "trixie beatrix", "benjamin": "ben", "catherine": "kitty kate katharina kathryn", "charles": "carlos karl charlie",
-    "charlotte": "lotte lottie charlotta", "christopher": "kit xpher chris christoph", "daniel": "dan", "dorothea": "thea dora dorothy dolly", "edward": "ned ted eduard",
-    "egon": "", "elizabeth": "betty bess lizzie elisabeth elis", "frances": "fanny frankie franziska", "frederick": "fred fritz friedrich", "george": "jorge jorg georg",
-    "gertrude": "truus trudy gertrud", "gregory": "greg gregor", "gudrun": "", "henrietta": "etta hattie henriette", "henry": "hal harry henri heinrich hy", "hugo": "",
-    "ignatius": "", "ines": "", "isabella": "bella isabel tibbie ysabel", "james": "jacques jim jamie jas", "johanna": "hanna joanna", "john": "jan johann juan jack jno",
-    "joseph": "joe pepe josef", "josephine": "pepa josie josefina", "kaspar": "", "kunigunde": "", "lawrence": "larry laurent lorenz", "leopold": "", "louisa": "luise lovisa lulu",
-    "margaret": "peggy maggie greta margarete", "martha": "mattie patty marthe", "mary": "molly polly may marie maria", "matthew": "matt matthias mattheus",
-    "michael": "mick michel miguel", "nerys": "", "nicholas": "nick nicolas klaus", "odette": "", "oswald": "", "ottilie": "", "peter": "pete pedro pierre pieter",
-    "philippa": "pippa filippa", "quentin": "", "quirina": "", "rebecca": "becky rebekka", "richard": "dick ricardo", "robert": "bob roberto rupert", "roland": "",
-    "rosina": "rosie rosine", "samuel": "sam", "sarah": "sara sally sadie", "sebastian": "bastian sebastien", "susanna": "susan susie sukey zuzanna",
-    "theodore": "dory theo theodor", "theresa": "resi tess teresa therese", "thomas": "tom tomas", "ulrich": "", "una": "", "ursula": "ulla orsola", "valentine": "val valentin",
-    "veronica": "vroni veronika", "vilma": "", "vincent": "", "wilhelmina": "mina minnie wilhelmine", "william": "will wilhelm willem bill wm", "ximena": "", "yorick": "",
-    "yvonne": "", "zachary": "zach zacharias", "zelda": "",
-}
+from stemma.llm.placetext import fold_name
+
 # Titles, and suffixes that tell namesakes apart.
 TITLES = frozenset("mrs mr ms miss mme mlle frau herr fraulein rev revd dr capt hon sgt col maj lt sir lady prof wwe wid widow witwe don dona senora senor pfr".split())
 ELDER, YOUNGER = frozenset(("sr", "sen", "snr", "elder", "senior")), frozenset(("jr", "jun", "jnr", "younger", "junior"))
-# Words by which an organisation is known, each under the kind it stands for; the words that name no one.
-KINDS = {
-    "brewery": "brewery brewers brauerei", "shipping": "shipping shipg reederei", "association": "association assoc assn verein", "library": "library lib memorial mem bibliothek",
-    "historical": "historical histl hist society soc", "archive": "archive archives pfarrarchiv archiv parish par", "orphanage": "orphan orph orphanage waisenhaus",
-}
-FILLERS = frozenset("and sons son bros brothers company co comp the of family fam house ltd inc der die und".split())
-
-_KIND_OF = {w: k for k, ws in KINDS.items() for w in ws.split()}
-_GIVEN_OF = {v: c for c, vs in GIVEN.items() for v in (c, *vs.split())}
-_CANON = sorted(set(_GIVEN_OF.values()))
-_NEAR_CANON, _NEAR_OTHER = Near(_CANON), Near(sorted(w for w in _GIVEN_OF if len(w) >= 4 and w not in GIVEN))
+# Words of organisations that name no one.
+FILLERS = frozenset("and son sons bro bros brothers company co comp inc ltd the of for in at der die das und et de la le del".split())
+
 _SOUNDS = tuple((re.compile(a), b) for a, b in (("eau|au", "o"), ("sch", "sh"), ("ck|c", "k"), ("ph", "f"), ("qu", "kv"), ("x", "ks"), ("dt", "t"), ("th", "t"), ("tz|z", "s"), ("w", "v"), ("ie|y|j", "i"), ("ai|ay|ey", "ei"), (r"(.)\1+", r"\1")))
+_FOLDED = lru_cache(200_000)(fold_name)
 
 
 @lru_cache(200_000)
@@ -50,60 +29,28 @@ def sound(word: str) -> str:
     return s
 
 
-@lru_cache(200_000)
-def given(word: str) -> str:
-    """The usual form of a given name: nicknames, other languages, abbreviations and slips resolved; an initial stays one letter."""
-    dotted, w = word.endswith("."), fold_letters(word)
-    if len(w) <= 1:
-        return w
-    if w in _GIVEN_OF:
-        return _GIVEN_OF[w]
-    if dotted:
-        fits = [c for c in _CANON if c[0] == w[0] and len(c) > len(w) and _abbreviates(w, c)]
-        if fits:
-            return next((c for c in fits if c.startswith(w[:-1])), fits[0])
-    most = 1 if len(w) < 7 else 2
-    for k in range(1, most + 1):
-        if len(w) > 2 * k and (found := _NEAR_CANON.best(w, k) or _NEAR_OTHER.best(w, k)):
-            return _GIVEN_OF[found]
-    return sound(w)
-
-
-def _abbreviates(short: str, name: str) -> bool:
-    rest = iter(name)
-    return all(ch in rest for ch in short)
+def token(word: str) -> str:
+    """A word folded; an abbreviation keeps its full stop, an initial is one letter."""
+    w = _FOLDED(word).replace(" ", "")
+    return w + "." if len(w) > 1 and word.endswith(".") else w
 
 
 def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[\s,/]+", text) if re.search(r"\w", w)]
 
 
-@lru_cache(100_000)
-def _kind_word(w: str) -> str:
-    if w in _KIND_OF:
-        return _KIND_OF[w]
-    if len(w) >= 6:
-        return next((k for a, k in _KIND_OF.items() if len(a) >= 6 and within(w, a, 1) <= 1), "")
-    return ""
-
-
-def read_organisation(text: str) -> tuple[str, str] | None:
-    """(kind, name by sound) if the text names an organisation."""
-    kinds, rest = [], []
-    for w in _words(text):
-        f = fold_name(w)
-        if k := _kind_word(f):
-            kinds.append(k)
-        elif f and f not in FILLERS and not any(len(f) >= 4 and len(x) >= 4 and within(f, x, 1) <= 1 for x in ("sons", "family", "house", "company")):
-            rest.append(f)
-    if not kinds or not rest:
-        return None
-    order = [k for k in KINDS if k in kinds]
-    return order[0], sound(max(rest, key=len))
+def read_words(text: str | None) -> list[str]:
+    """The words of an organisation's name without its fillers; all of them if there are no others."""
+    every = [t for w in _words(text or "") if (t := token(w))]
+    return sorted({t for t in every if t.strip(".") not in FILLERS} or set(every))
 
 
 def read_name(text: str | None) -> tuple[str, str, str, str]:
-    """(surname by sound, first, middle, suffix) of a person's name as typed; each may be empty, given names may be initials."""
+    """(surname by sound, first, middle, suffix) of a person's name as typed; each may be empty.
+
+    Given names are folded words; an initial is one letter, an abbreviation ends with a full stop. A name of titles or
+    suffixes only has their sound as its surname.
+    """
     if not text or not text.strip():
         return "", "", "", ""
     slashed = re.search(r"/([^/]+)/", text)
@@ -113,7 +60,7 @@ def read_name(text: str | None) -> tuple[str, str, str, str]:
     head, comma, tail = bare.partition(",")
     parts = [(w, bool(comma) and i == 0) for i, piece in enumerate((head, tail)) for w in _words(piece)]
     for w, first in parts:
-        f = fold_name(w)
+        f = _FOLDED(w)
         if f in ELDER or f in YOUNGER:
             suffix = "elder" if f in ELDER else "younger"
         elif f in TITLES and len(f) > 1 or f in ("the", "der", "die", "of"):
@@ -127,12 +74,10 @@ def read_name(text: str | None) -> tuple[str, str, str, str]:
     elif len(kept) > 1:
         ws = [w for w, _ in kept]
         shout = [w.isupper() and len(w.strip(".")) > 1 for w in ws]
-        known = [fold_letters(w) in _GIVEN_OF or len(w.strip(".")) == 1 or w.endswith(".") for w in ws]
-        if (shout[0] and not shout[-1]) or (known[-1] and not known[0] and not (shout[-1] and not shout[0])):
-            sur, names = ws[0], ws[1:]
-        else:
-            sur, names = ws[-1], ws[:-1]
+        brief = [len(w.strip(".")) == 1 or w.endswith(".") for w in ws]
+        turned = (shout[0] and not shout[-1]) or (brief[-1] and not brief[0] and not (shout[-1] and not shout[0]))
+        sur, names = (ws[0], ws[1:]) if turned else (ws[-1], ws[:-1])
     else:
-        sur, names = (kept[0][0] if kept else ""), []
-    g = [given(w) for w in names]
+        sur, names = (kept[0][0] if kept else " ".join(w for w, _ in parts)), []
+    g = [t for w in names if (t := token(w))]
     return sound(sur), (g[0] if g else ""), (g[1] if len(g) > 1 else ""), suffix

@@ -17,7 +17,8 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     """The pairs with their confidence."""
     left = table(spark, d, "individuals").withColumnRenamed("individual_id", "id")
     right = table(spark, d, "rm_persons").withColumnRenamed("personid", "id")
-    return matching.match(left, right, table(spark, d, "placetable")).select(F.col("left_id").alias("individual_id"), F.col("right_id").alias("personid"), "confidence")
+    evidence = table(spark, d, "nametable").where("name_type = 'person'")
+    return matching.match(left, right, table(spark, d, "placetable"), evidence=evidence).select(F.col("left_id").alias("individual_id"), F.col("right_id").alias("personid"), "confidence")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +31,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every row with its class."""
-    return variants.name_classes(table(spark, d, "nametable"))
+    evidence = table(spark, d, "individuals").select("full_name", "alternate_names").unionAll(table(spark, d, "rm_persons").select("full_name", "alternate_names"))
+    return variants.name_classes(table(spark, d, "nametable"), evidence=evidence)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,128 +5,184 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stemma.llm.aliases import LEAST_SHARE, abbreviates, given_classes, is_short, with_roots, word_classes
 from stemma.llm.components import components
-from stemma.llm.names import read_name, read_organisation
+from stemma.llm.names import read_name, read_words
+from stemma.llm.segments import LONG, SHORT, segment_join
 from stemma.tables import settle
 
-#: Most edits between two spellings of a surname by sound, and the length from which they are allowed.
-EDITS, LONG, SHORT = 2, 8, 4
-FORM = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "surname", "first", "middle", "suffix")])
+__all__ = ["LONG", "SHORT", "class_pairs", "name_classes", "read_forms", "segment_join"]
 
+READ = T.StructType([*(T.StructField(n, T.StringType()) for n in ("surname", "first", "middle", "suffix")), T.StructField("words", T.ArrayType(T.StringType()))])
+PERSON, ORGANISATION = "person", "organisation"
+#: A word beside more different words than this is no name of its own, if the rarest word of its name has a tenth of them at most.
+COMPANY = 10
 
-def edits_for(length: Column) -> Column:
-    """Edits allowed at a length: a name of 8 letters or more may differ by 2, of 4 or more by 1."""
-    return F.when(length >= LONG, EDITS).when(length >= SHORT, 1).otherwise(0)
 
+def read_spellings(rows: DataFrame, row_id: str, group: str) -> DataFrame:
+    """(row_id, group, type, at, surname, first, middle, suffix, words): one row for each spelling, read both as a person and as words.
+
+    at is 0 for the first spelling of a row. Empty and null names give none.
+    """
+    spelled = rows.select(
+        row_id, group, F.coalesce("name_type", F.lit("")).alias("type"),
+        F.posexplode(F.array_distinct(F.filter(F.concat(F.array("full_name"), F.coalesce("alternate_names", F.array().cast("array<string>"))), lambda s: F.trim(s) != ""))).alias("at", "name"),
+    )
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = pd.DataFrame([(*read_name(name), read_words(name)) for name in b["name"]], columns=READ.names)
+            yield pd.concat([b.drop(columns="name").reset_index(drop=True), out], axis=1)
+
+    schema = spelled.drop("name").schema
+    return spelled.mapInPandas(read, T.StructType([*schema.fields, *READ.fields]))
 
-def segment_join(names: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., a, b): all pairs a < b of distinct names with equal keys within the edits that the shorter one allows; exact.
 
-    names has the keys and `name`. With k edits, one of k + 1 segments of the shorter name stays whole in the longer one,
-    shifted by no more than the lengths and k permit; so only the substrings at those places are looked up in the inverted
-    index of segments. Pairs are verified once by edit distance in a band of width k. Null names match nothing.
+def tell_types(read: DataFrame, row_id: str) -> DataFrame:
+    """Replaces an unstated type by the likelier one, judged by the words of the spellings whose type is stated.
+
+    Words count by how much more frequent they are in one type; unknown ones say nothing. Without evidence a name is a person's.
     """
-    n = F.length("name")
-    base = names.where("name is not null").select(*keys, "name").distinct().withColumn("n", n)
-    k = edits_for(F.col("n"))
-    starts = F.expr("transform(sequence(0, k), i -> struct(cast(i as int) as i, cast(floor(i * n / (k + 1)) as int) as p, cast(floor((i + 1) * n / (k + 1)) - floor(i * n / (k + 1)) as int) as size))")
-    index = (
-        base.withColumn("k", k)
-        .where("n > k")
-        .withColumn("s", F.explode(starts))
-        .select(*keys, F.col("name").alias("short"), F.col("n").alias("l"), "k", F.col("s.i").alias("i"), F.expr("substring(name, s.p + 1, s.size)").alias("segment"))
-    )
-    # for each shorter length l and segment, the places where it can lie in this name
-    probes = (
-        base.withColumn("l", F.explode(F.expr(f"sequence(greatest(1, n - {EDITS}), n)")))
-        .withColumn("k", edits_for(F.col("l")))
-        .where("n - l <= k and l > k")
-        .withColumn("i", F.explode(F.expr("sequence(0, k)")))
-        .withColumn("p", F.expr("cast(floor(i * l / (k + 1)) as int)"))
-        .withColumn("size", F.expr("cast(floor((i + 1) * l / (k + 1)) as int) - p"))
-        .withColumn("from", F.expr("greatest(0, p - cast(floor((k - (n - l)) / 2) as int))"))
-        .withColumn("to", F.expr("least(n - size, p + cast(floor((k + (n - l)) / 2) as int))"))
-        .where("from <= to")
-        .withColumn("at", F.explode(F.expr("sequence(from, to)")))
-        .select(*keys, F.col("name").alias("long"), "l", "k", "i", F.expr("substring(name, at + 1, size)").alias("segment"))
+    stated = read.where(F.col("type").isin(PERSON, ORGANISATION)).select((F.col("type") == ORGANISATION).cast("int").alias("o"), F.explode("words").alias("word"))
+    uses = stated.groupBy("word").agg(F.sum("o").alias("o"), F.sum(1 - F.col("o")).alias("p"))
+    totals = uses.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("all_o"), F.coalesce(F.sum("p"), F.lit(0)).alias("all_p"))
+    # totals is one row
+    weighed = uses.join(F.broadcast(totals), F.lit(True)).select(
+        "word", (F.log((F.col("o") + 0.1) / (F.col("all_o") + 1)) - F.log((F.col("p") + 0.1) / (F.col("all_p") + 1))).alias("weight")
     )
-    hits = probes.join(index, [*keys, "l", "k", "i", "segment"]).where("short != long")
-    pairs = hits.select(*keys, "k", F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
-    return pairs.where(F.levenshtein("a", "b", EDITS).between(0, F.col("k"))).select(*keys, "a", "b")
+    unstated = read.where(~F.col("type").isin(PERSON, ORGANISATION)).select(row_id, F.explode("words").alias("word"))
+    told = unstated.join(weighed, "word").groupBy(row_id).agg(F.sum("weight").alias("weight"))
+    # a prior as the totals have it
+    prior = totals.select(F.log((F.col("all_o") + 1) / (F.col("all_p") + 1)).alias("prior"))
+    told = told.join(F.broadcast(prior), F.lit(True)).where(F.col("weight") + F.col("prior") > 0).select(row_id, F.lit(ORGANISATION).alias("likely"))
+    typed = read.join(told, row_id, "left")
+    return typed.withColumn("type", F.when(F.col("type").isin(PERSON, ORGANISATION), F.col("type")).otherwise(F.coalesce("likely", F.lit(PERSON)))).drop("likely")
 
 
-def read_forms(rows: DataFrame, row_id: str, group: str) -> DataFrame:
-    """(row_id, group, kind, surname, first, middle, suffix): one row for each spelling of each row, parts by sound.
+def told_pairs(read: DataFrame, row_id: str, x: Column, y: Column) -> DataFrame:
+    """(x, y, n): what the first spelling of a row has (x, an expression over a.) where another one has y (over b.); each may be an array of pairs' sides."""
+    a, b = read.where("at = 0").alias("a"), read.where("at > 0").drop("type").alias("b")
+    met = a.join(b, F.col(f"a.{row_id}") == F.col(f"b.{row_id}")).select(F.explode(F.arrays_zip(x.alias("x"), y.alias("y"))).alias("t"))
+    return met.where("t.x is not null and t.y is not null and t.x != '' and t.y != ''").groupBy(F.col("t.x").alias("x"), F.col("t.y").alias("y")).agg(F.count("*").alias("n"))
 
-    kind is empty for a person, else what sort of organisation it is. Empty and null names give none.
-    """
-    spelled = rows.select(
-        row_id, group, (F.coalesce("name_type", F.lit("")) == "person").alias("person"),
-        F.explode(F.array_distinct(F.concat(F.array("full_name"), F.coalesce("alternate_names", F.array().cast("array<string>"))))).alias("name"),
-    ).where(F.trim("name") != "")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for name, person in zip(b["name"], b["person"], strict=True):
-                o = None if person else read_organisation(name)
-                out.append((o[0], o[1], "", "", "") if o else ("", *read_name(name)))
-            yield pd.concat([b[[row_id, group]].reset_index(drop=True), pd.DataFrame(out, columns=FORM.names)], axis=1)
+def _expansions(words: DataFrame) -> DataFrame:
+    """(word, root): each abbreviation of words (word, f) with the most frequent word that it abbreviates."""
+    brief = words.where(F.col("word").endswith(".")).select(F.col("word").alias("brief"), F.substring("word", 1, 1).alias("c"), F.expr("substring(word, length(word) - 1, 1)").alias("e"))
+    whole = words.where(~F.col("word").endswith(".") & (F.length("word") > 1)).select("word", "f", F.substring("word", 1, 1).alias("c"), F.explode(F.array_distinct(F.split("word", ""))).alias("e"))
+    fit = brief.join(whole, ["c", "e"]).where((F.length("word") >= F.length("brief")) & abbreviates(F.col("brief"), F.col("word")))
+    return fit.groupBy("brief").agg(F.max_by("word", F.struct("f", "word")).alias("root")).select(F.col("brief").alias("word"), "root")
+
 
-    schema = spelled.select(row_id, group).schema
-    return spelled.mapInPandas(read, T.StructType([*schema.fields, *FORM.fields])).where("surname != ''")
+def read_organisations(orgs: DataFrame, row_id: str, group: str) -> DataFrame:
+    """(row_id, group, kind, surname): the distinctive words of each organisation's spelling, and the class of its other words.
 
+    Words are unified first: those that owners use in place of each other, slips, and abbreviations. A word is distinctive
+    if it stands beside few different words, itself or compared with the others of its name. The rest, such as
+    "historical society", is a frame; frames are of one kind if owners use them in place of each other.
+    """
+    words = orgs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
+    only_a, only_b = F.array_except("a.words", "b.words"), F.array_except("b.words", "a.words")
+    shared = F.array_intersect("a.words", "b.words")
+    one = (F.size(only_a) == 1) & (F.size(only_b) == 1)
+    none = F.array().cast("array<string>")
+    told = told_pairs(orgs, row_id, F.concat(shared, F.when(one, only_a).otherwise(none)), F.concat(shared, F.when(one, only_b).otherwise(none)))
+    classes = word_classes(words, told)
+    bound = classes.select("word")
+    expanded = _expansions(words).join(bound, "word", "left_anti")
+    classes = settle(classes.unionByName(with_roots(expanded, classes.select("word", "root"), ["root"])))
+    marked = orgs.withColumn("spelling", F.xxhash64(row_id, "at"))
+    flat = with_roots(marked.select(row_id, group, "at", "spelling", F.explode("words").alias("word")), classes, ["word"])
+    read = settle(flat.groupBy(row_id, group, "at", "spelling").agg(F.array_sort(F.collect_set("word")).alias("words")))
+    each = read.select("words", F.explode("words").alias("word"))
+    # the different words beside a word, at least so many
+    beside = each.select("word", F.explode("words").alias("other")).where("word != other").distinct().groupBy("word").agg(F.count("*").alias("company"))
+    counted = read.select(row_id, group, "at", "spelling", F.explode("words").alias("word")).join(beside, "word", "left").fillna(0, ["company"])
+    most = F.max("company").over(Window.partitionBy("spelling"))
+    split = counted.withColumn("own", (F.col("company") <= COMPANY) | (F.col("company") * 10 <= most)).groupBy(row_id, group, "at", "spelling").agg(
+        F.array_sort(F.collect_set(F.when(F.col("own"), F.col("word")))).alias("own"), F.array_sort(F.collect_set(F.when(~F.col("own"), F.col("word")))).alias("frame")
+    )
+    split = settle(split.select(
+        row_id, group, "at", F.array_join(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("frame")), "").alias("surname"),
+        F.when(F.size("own") > 0, F.array_join("frame", " ")).otherwise("").alias("frame"),
+    ).withColumn("surname", F.regexp_replace("surname", r"\.", "")).withColumn("frame", F.regexp_replace("frame", r"\.", "")).withColumn("type", F.lit(ORGANISATION)))
+    frames = split.where("frame != ''").groupBy(F.col("frame").alias("word")).agg(F.count("*").alias("f"))
+    kinds = word_classes(frames, told_pairs(split, row_id, F.array("a.frame"), F.array("b.frame")), by_sound=False)
+    return with_roots(split, kinds.select("word", "root"), ["frame"]).select(row_id, group, F.concat(F.lit("organisation "), F.col("frame")).alias("kind"), "surname")
 
-def _fits(x: str, y: str) -> Column:
-    """Given names that can be one: equal, or one is the initial of the other."""
-    a, b = F.col(x), F.col(y)
-    return (a == b) | ((F.length(a) == 1) & b.startswith(a)) | ((F.length(b) == 1) & a.startswith(b))
 
+def read_forms(rows: DataFrame, row_id: str, group: str, evidence: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """(row_id, group, kind, surname, first, middle, suffix) for each spelling of each row, and whether suffixes are left out at times.
 
-def name_classes(rows: DataFrame, row_id: str = "nameid", group: str = "tree_file") -> DataFrame:
+    kind is empty for a person, else what sort of organisation it is. Given names are replaced by their roots.
+    """
+    read = settle(read_spellings(rows, row_id, group))
+    typed = settle(tell_types(read, row_id))
+    people = typed.where(F.col("type") == PERSON).drop("words")
+    spelled = rows.where(F.col("name_type") == PERSON).select("full_name", "alternate_names")
+    classes = given_classes(people, spelled if evidence is None else spelled.unionByName(evidence.select("full_name", "alternate_names")))
+    persons = with_roots(people, classes, ["first", "middle"]).select(row_id, group, F.lit("").alias("kind"), "surname", "first", "middle", "suffix")
+    orgs = read_organisations(typed.where(F.col("type") == ORGANISATION).select(row_id, group, "type", "at", "words"), row_id, group)
+    orgs = orgs.select(row_id, group, "kind", "surname", *(F.lit("").alias(c) for c in ("first", "middle", "suffix")))
+    # how often one row has a name with and without a suffix
+    sides = told_pairs(people, row_id, F.array(F.concat(F.lit("-"), F.col("a.suffix"))), F.array(F.concat(F.lit("-"), F.col("b.suffix")))).where("x != '-' or y != '-'")
+    kept = sides.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("x") != F.col("y"), F.col("n"))).alias("cut")).first()
+    return persons.unionByName(orgs).where("surname != '' or first != ''"), ((kept["cut"] or 0) + 1) >= LEAST_SHARE * ((kept["all"] or 0) + 1)
+
+
+def name_classes(rows: DataFrame, row_id: str = "nameid", group: str = "tree_file", evidence: DataFrame | None = None) -> DataFrame:
     """(row_id, group, class_id): rows of a group with one class name the same person or organisation.
 
-    Every row with a name is in one class; class_id is the smallest row id of it. Names are read into parts by sound first.
-    Surnames within few edits are found by `segment_join` inside a group and initial; given names must be equal or an initial
-    of the other, middle names must not contradict, suffixes must be equal. A form with an initial only, or without a
-    middle name, joins fuller forms only if those agree on what it stands for; else it stays with its like. Rows in
-    null groups are taken as one group.
+    Every row with a name is in one class; class_id is the smallest row id of it. Names are read into parts first.
+    Surnames by sound within few edits are found by `segment_join` inside a group, kind and initial; given names must have one
+    root or be an initial or abbreviation of the other, middle names and suffixes must not contradict. A form with an initial
+    only, without a middle name or without a suffix joins fuller forms only if the nearest of those (of the same surname
+    first) agree on what it stands for; else it stays with its like. If rows with several spellings hardly ever leave
+    a suffix out, forms without one stay apart from those with one. Rows in null groups are taken as one group. evidence has the
+    full_name and alternate_names of other persons; which given names stand for each other is learned from them, too.
     """
     keyed = rows.withColumn(group, F.coalesce(F.col(group), F.lit("")))
-    forms = settle(read_forms(keyed, row_id, group).withColumn("initial", F.substring("first", 1, 1)).withColumn("form", F.xxhash64(group, "kind", "surname", "first", "middle", "suffix")))
-    part = [group, "kind", "suffix", "initial"]
-    distinct = settle(forms.select("form", *part, "surname", "first", "middle").distinct())
-    near = segment_join(distinct.select(*part, F.col("surname").alias("name")), part)
-    both = near.unionAll(near.select(*part, F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(distinct.select(*part, F.col("surname").alias("a"), F.col("surname").alias("b")).distinct())
-    x = distinct.select(*part, F.col("surname").alias("a"), F.col("form").alias("fx"), F.col("first").alias("first_x"), F.col("middle").alias("middle_x"))
-    y = distinct.select(*part, F.col("surname").alias("b"), F.col("form").alias("fy"), F.col("first").alias("first_y"), F.col("middle").alias("middle_y"))
-    empty = (F.col("middle_x") == "") | (F.col("middle_y") == "")
-    pairs = (
-        both.join(x, [*part, "a"]).join(y, [*part, "b"]).where("fx != fy").where(_fits("first_x", "first_y") & (empty | _fits("middle_x", "middle_y")))
-    ).select("fx", "fy", "first_x", "middle_x", "first_y", "middle_y")
+    read, suffix_free = read_forms(keyed, row_id, group, evidence)
+    parts = ["surname", "first", "middle", "suffix"]
+    forms = settle(read.withColumn("block", F.xxhash64(group, "kind", F.substring("first", 1, 1))).withColumn("form", F.xxhash64(group, "kind", *parts)))
+    distinct = settle(forms.select("form", "block", *parts).distinct())
+    near = segment_join(distinct.select("block", F.col("surname").alias("name")), ["block"])
+    near = near.unionAll(near.select("block", F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("d", F.levenshtein("a", "b"))
+    own = distinct.select("block", F.col("surname").alias("a")).distinct().select("block", "a", F.col("a").alias("b"), F.lit(0).alias("d"))
+    x = distinct.select("block", F.col("surname").alias("a"), F.col("form").alias("fx"), *(F.col(c).alias(f"{c}_x") for c in parts[1:]))
+    y = distinct.select("block", F.col("surname").alias("b"), F.col("form").alias("fy"), *(F.col(c).alias(f"{c}_y") for c in parts[1:]))
+    both = settle(near.unionAll(own).join(x, ["block", "a"]))
+    # equal given names meet by hash; only short ones are tried against all of their initial
+    equal = both.join(y.withColumn("first_x", F.col("first_y")), ["block", "b", "first_x"])
+    brief = both.where(is_short(F.col("first_x"))).join(y, ["block", "b"]).where((F.col("first_x") != F.col("first_y")) & abbreviates(F.col("first_x"), F.col("first_y")))
+    cols = ["fx", "fy", "d", *(f"{c}_{s}" for c in parts[1:] for s in "xy")]
+    turned = [F.col("fy").alias("fx"), F.col("fx").alias("fy"), "d", *(F.col(f"{c}_{t}").alias(f"{c}_{s}") for c in parts[1:] for s, t in (("x", "y"), ("y", "x")))]
+    mx, my = F.col("middle_x"), F.col("middle_y")
+    fits = (mx == my) | (mx == "") | (my == "") | (is_short(mx) & abbreviates(mx, my)) | (is_short(my) & abbreviates(my, mx))
+    sx, sy = F.col("suffix_x"), F.col("suffix_y")
+    fits = fits & ((sx == sy) | (F.lit(suffix_free) & ((sx == "") | (sy == ""))))
+    pairs = equal.select(*cols).unionAll(brief.select(*cols)).unionAll(brief.select(*turned)).where((F.col("fx") != F.col("fy")) & fits)
     pairs = settle(pairs.distinct())
-    # what an incomplete form could stand for, told by its fuller neighbours; a set of two shows that they disagree
-    full_first = F.when(F.length("first_y") > 1, F.col("first_y"))
-    full_middle = F.when(F.length("middle_y") > 1, F.col("middle_y"))
-    told = pairs.groupBy("fx").agg(
-        F.min(full_first).alias("f1"), F.max(full_first).alias("f2"), F.min(full_middle).alias("m1"), F.max(full_middle).alias("m2"),
-    )
-    open_first, open_middle = F.coalesce(F.col("f1") != F.col("f2"), F.lit(False)), F.coalesce(F.col("m1") != F.col("m2"), F.lit(False))
-    told = told.select("fx", open_first.alias("open_first"), open_middle.alias("open_middle"))
-    other = told.select(F.col("fx").alias("fy"), F.col("open_first").alias("open_first_y"), F.col("open_middle").alias("open_middle_y"))
-    said_more = ((F.length("first_x") < 2) & (F.length("first_y") > 1) & F.col("open_first")) | ((F.length("first_y") < 2) & (F.length("first_x") > 1) & F.col("open_first_y"))
-    middle_more = ((F.length("middle_x") < 2) & (F.length("middle_y") > 1) & F.col("open_middle") & (F.col("middle_x") == "")) | (
-        (F.length("middle_y") < 2) & (F.length("middle_x") > 1) & F.col("open_middle_y") & (F.col("middle_y") == "")
-    )
-    links = pairs.join(told, "fx").join(other, "fy").where(~said_more & ~middle_more).where("fx < fy").select(F.col("fx").alias("u"), F.col("fy").alias("v"))
+    # what an incomplete form could stand for, told by the nearest of its fuller neighbours
+    whole = {"first": F.when(~is_short(F.col("first_y")), F.col("first_y")), "middle": F.when((my != "") & ~is_short(my), my), "suffix": F.when(sy != "", sy)}
+    by_distance = pairs.groupBy("fx", "d").agg(*(g(e).alias(f"{c}_{n}") for c, e in whole.items() for n, g in (("lo", F.min), ("hi", F.max))))
+    told = by_distance.groupBy("fx").agg(*(F.min(F.when(F.col(f"{c}_lo").isNotNull(), F.struct("d", F.col(f"{c}_lo").alias("lo"), F.col(f"{c}_hi").alias("hi")))).alias(c) for c in whole))
+    told = told.select("fx", *(F.when(F.col(f"{c}.lo") == F.col(f"{c}.hi"), F.col(f"{c}.lo")).otherwise("").alias(f"told_{c}") for c in whole))
+    other = told.select(F.col("fx").alias("fy"), *(F.col(f"told_{c}").alias(f"also_{c}") for c in whole))
+    agree = F.lit(True)
+    for c in whole:
+        a, b = F.col(f"{c}_x"), F.col(f"{c}_y")
+        lacks = lambda w: (w == "") | is_short(w)
+        agree = agree & ~(lacks(a) & ~lacks(b) & (b != F.col(f"told_{c}"))) & ~(lacks(b) & ~lacks(a) & (a != F.col(f"also_{c}")))
+    links = pairs.where("fx < fy").join(told, "fx").join(other, "fy").where(agree).select(F.col("fx").alias("u"), F.col("fy").alias("v"))
     # spellings of one row belong together: its forms are linked to its smallest one
     least = forms.groupBy(row_id).agg(F.min("form").alias("v"), F.max("form").alias("w")).where("v != w")
-    own = forms.join(least, row_id).where("form != v").select(F.col("form").alias("u"), "v").distinct()
-    found = components(links.unionAll(own))
+    same_row = forms.join(least, row_id).where("form != v").select(F.col("form").alias("u"), "v").distinct()
+    found = components(links.unionAll(same_row))
     placed = forms.join(found, F.col("form") == F.col("node"), "left").select(row_id, group, F.coalesce("component", "form").alias("c"))
     per_row = placed.groupBy(row_id, group).agg(F.min("c").alias("c"))
     return per_row.join(per_row.groupBy("c").agg(F.min(row_id).alias("class_id")), "c").select(row_id, group, "class_id")

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stemma.llm import components, matching, mixing, packing, survivors, tokens
+from stemma.tables import settle
 
 
 def union_find(pairs):
@@ -173,7 +174,7 @@ def test_hot_block_is_cut(spark, monkeypatch):
     monkeypatch.setattr(matching, "BLOCK_PAIRS", 50)
     cols = "id long, full_name string, alternate_names array<string>, birth_date string, birth_place string"
     rows = [(i, f"Anna {'bcdfghjklmnp'[i % 12]}a{'rstvz'[i % 5]}olo", [], "1 JAN 1800", "") for i in range(60)]
-    a, _ = matching.collapse(matching.read_persons(spark.createDataFrame(rows, cols), matching.PlaceReader([])))
+    a, _ = matching.collapse(matching.read_persons([spark.createDataFrame(rows, cols)], matching.PlaceReader([]))[0])
     n = a.count()
     pairs = matching.candidates(a, a)
     assert pairs.where("l = r").count() == n and pairs.count() < n * n
@@ -191,7 +192,7 @@ def test_hot_blocks_lose_no_pair(spark, monkeypatch):
         born, place = [("", left[-1][4]), (f"ABT {year + 1}", ""), (f"{day} MAY {year + 1}", "Rostock, Unterland, Germany"), (f"{day} MAY {year}", left[-1][4])][i % 4]
         right.append((1000 + i, f"{first} Malden", [], born, place))
     sides = [spark.createDataFrame(rows, cols) for rows in (left, right)]
-    a, b = (matching.collapse(matching.read_persons(s, matching.PlaceReader([])))[0].localCheckpoint() for s in sides)
+    a, b = (settle(matching.collapse(p)[0]) for p in matching.read_persons(sides, matching.PlaceReader([])))
     keys = [{(r["rep"], r["key"]) for r in matching.block_keys(p).collect()} for p in (a, b)]
     want = {(x, y) for x, k in keys[0] for y, m in keys[1] if k == m}
     places = spark.createDataFrame([], P)
