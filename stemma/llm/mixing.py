@@ -30,13 +30,12 @@ def thresholds(sized: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
     left = dict(wanted)
     width = 32
     for bits in STEPS:
-        here = F.lit(None)
-        for s, at in low.items():
-            here = F.when(F.col("source") == s, F.lit(at)).otherwise(here)
+        starts = sized.sparkSession.createDataFrame(list(low.items()), "source string, at long")
         span = 1 << width
         width -= bits
         sums: dict[str, list[tuple[int, int]]] = {}
-        inside = sized.withColumn("at", here.cast("long")).where((F.col("h") >= F.col("at")) & (F.col("h") < F.col("at") + span))
+        # one row per source, whose number was checked
+        inside = sized.join(F.broadcast(starts), "source").where((F.col("h") >= F.col("at")) & (F.col("h") < F.col("at") + span))
         for r in inside.groupBy("source", F.shiftright(F.col("h") - F.col("at"), width).alias("b")).agg(F.sum("n_tokens").alias("t")).collect():
             sums.setdefault(r["source"], []).append((r["b"], r["t"]))
         for s in low:
@@ -83,12 +82,11 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> Da
     unused ones are left out; documents without tokens are kept or not like any other.
     """
     sized = size_documents(docs, targets, vocabulary)
-    copies, cut = F.lit(0), F.lit(0).cast("long")
-    for s, _, c, t, _ in plan_mix(sized, targets):
-        copies = F.when(F.col("source") == s, F.lit(c)).otherwise(copies)
-        cut = F.when(F.col("source") == s, F.lit(t).cast("long")).otherwise(cut)
-    used = (copies + (F.col("h") < cut).cast("int")).cast("int")
-    return sized.select("doc_id", "source", "n_tokens", used.alias("copies")).where("copies > 0")
+    plan = [(s, c, t) for s, _, c, t, _ in plan_mix(sized, targets)]
+    # one row per source, whose number plan_mix has checked
+    used = F.broadcast(docs.sparkSession.createDataFrame(plan, "source string, whole int, cut long"))
+    copies = (F.col("whole") + (F.col("h") < F.col("cut")).cast("int")).cast("int")
+    return sized.join(used, "source").select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0")
 
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from stemma.llm.tokens import VOCABULARY, count_tokens
 
 #: Documents that one worker packs at a time; the only bound on a task, and no document is left out by it.
 SHARD_ROWS = 40_000
+#: Most kinds of containers; more raise an error.
+MAX_KINDS = 10_000
 OUT = "container_kind string, container_id long, doc_id long, piece int, n_tokens long"
 
 
@@ -69,23 +71,23 @@ def pack_containers(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABUL
     docs has doc_id and text. A document longer than the capacity is cut: each full piece has a container of its own and
     the remainder is packed as any other. Others stay whole, as piece 0. Empty and null texts have 0 tokens and lie in some
     container. Documents are dealt to workers by a hash of their id and packed there by `pack`, so equal or hot sources
-    make no task larger. Kinds without a positive capacity are left out.
+    make no task larger. Kinds without a name or a positive capacity are left out; one with two
+    capacities is an error.
     """
-    kinds = [(r["container_kind"], r["capacity_tokens"]) for r in specs.select("container_kind", "capacity_tokens").distinct().limit(1000).collect() if r["capacity_tokens"] and r["capacity_tokens"] > 0]
-    capacity = dict(kinds)
-    rows = docs.sparkSession.createDataFrame(kinds, "container_kind string, capacity long")
+    caps = specs.where("container_kind is not null and capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
+    rows = caps.limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    if len({r["container_kind"] for r in rows}) < len(rows):
+        raise ValueError("a kind of container has two capacities")
     # ids only: reads one column, and its size decides how many shards there are
     shards = max(1, -(-docs.select("doc_id").count() // SHARD_ROWS))
     sized = count_tokens(docs.select("doc_id", "text"), vocabulary=vocabulary)
-    items = (
-        sized.withColumn("kind", F.explode(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in kinds))))
-        .select("doc_id", "n_tokens", "kind.*")
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    ) if kinds else sized.crossJoin(rows).withColumn("shard", F.lit(0))  # without kinds both sides of it are empty
+    # the list of kinds was counted above; every document goes to each kind
+    items = sized.join(F.broadcast(caps), F.lit(True)).select("doc_id", "n_tokens", "container_kind", "capacity", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
 
     def one(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        kind, shard = keys
-        c = int(capacity[kind])
+        kind, c, shard = keys[0], int(keys[1]), keys[2]
         ids, sizes = part["doc_id"].to_numpy(), part["n_tokens"].to_numpy()
         by_id = np.lexsort((sizes, ids))  # the result does not depend on the order of arrival
         ids, sizes = ids[by_id], sizes[by_id]
@@ -106,7 +108,7 @@ def pack_containers(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABUL
         return out[["container_kind", "container_id", "doc_id", "piece", "n_tokens"]]
 
     run: Callable = one
-    return items.groupBy("container_kind", "shard").applyInPandas(run, OUT)
+    return items.groupBy("container_kind", "capacity", "shard").applyInPandas(run, OUT)
 
 
 def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:

@@ -21,12 +21,13 @@ MAX_REFERENCE = 100_000
 
 
 def reader_for(places: DataFrame) -> PlaceReader:
-    """A reader that knows the counties of the reference list, whose size is checked, and the main names of its towns."""
-    rows = places.select("name", "alternate_names").limit(MAX_REFERENCE + 1).collect()
+    """A reader that knows the counties and countries of the reference list, whose size is checked, and the main names of its towns."""
+    rows = places.select("name", "country", "alternate_names").limit(MAX_REFERENCE + 1).collect()
     if len(rows) > MAX_REFERENCE:
         raise ValueError(f"the reference list has more than {MAX_REFERENCE} rows")
     aliases = {fold_name(a): fold_name(r["name"].split(",")[0]) for r in rows if r["name"] for a in r["alternate_names"] or () if a}
-    return PlaceReader(sorted({p[1].strip() for r in rows if r["name"] and len(p := r["name"].split(",")) > 1 and p[1].strip()}), aliases)
+    countries = sorted({c.strip() for r in rows for c in ((r["country"] or ""), *((r["name"] or "").split(",")[2:3])) if c.strip()})
+    return PlaceReader(sorted({p[1].strip() for r in rows if r["name"] and len(p := r["name"].split(",")) > 1 and p[1].strip()}), aliases, countries)
 
 
 def read_places(values: DataFrame, reader: PlaceReader) -> DataFrame:
@@ -92,11 +93,11 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> Data
         (F.col("left_n") >= F.col("right_n") * threshold) & (F.col("right_n") >= F.col("left_n") * threshold)
         & (rest + 1e-9 >= need)  # holds at the rarest common token, where alone a pair is verified
     )
-    both = F.size(F.array_intersect("left_tokens", "right_tokens"))
-    first = F.element_at(F.array_intersect("left_tokens", "right_tokens"), 1)
+    # one pass over both sets a pair; explode keeps the optimizer from repeating it
+    met = F.transform(F.array(F.array_intersect("left_tokens", "right_tokens")), lambda common: F.when(F.element_at(common, 1) == F.col("g"), F.size(common)))
+    both = hits.select("left_name", "right_name", "left_n", "right_n", F.explode(met).alias("both")).where("both is not null")
     return (
-        hits.where(first == F.col("g"))
-        .withColumn("jaccard", both / (F.col("left_n") + F.col("right_n") - both))
+        both.withColumn("jaccard", F.col("both") / (F.col("left_n") + F.col("right_n") - F.col("both")))
         .where(F.col("jaccard") >= threshold - 1e-9)
         .select("left_name", "right_name", "jaccard")
     )
@@ -140,7 +141,8 @@ def match_places(values: DataFrame, places: DataFrame, threshold: float = 0.4, s
     both = F.size(F.array_intersect("x", "y"))
     local = local.select("left_name", "right_name", (both / (F.size("x") + F.size("y") - both)).alias("jaccard")).where(F.col("jaccard") < threshold - 1e-9)
     pairs = pairs.unionByName(local)
-    found = (
+    # used twice
+    found = settle(
         readings.join(pairs, F.col("town") == F.col("left_name"))
         .join(r, "right_name")
         .where((F.col("county") == "") | same_county)

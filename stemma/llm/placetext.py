@@ -131,13 +131,17 @@ def bigrams(name: str) -> list[str]:
 class PlaceReader:
     """Splits a place as typed with the counties and countries of a reference list, which is fixed and small."""
 
-    def __init__(self, counties: list[str], aliases: dict[str, str] | None = None) -> None:
-        self.aliases = aliases or {}
+    def __init__(self, counties: list[str], aliases: dict[str, str] | None = None, countries: list[str] | None = None) -> None:
+        self.aliases, self.stated = aliases or {}, countries or []
         # names of two countries mean both; the reader gives the pair
         shared: dict[str, set[str]] = {}
         for c, names in COUNTRIES.items():
             for a in names.split("|"):
                 shared.setdefault(fold_name(a), set()).add(c)
+        # countries that the list has and the fixed table has not
+        for c in self.stated:
+            if fold_name(c) not in shared:
+                shared[fold_name(c)] = {fold_name(c)}
         self.countries = {a: "|".join(sorted(cs)) for a, cs in shared.items()}
         self.near_country = Near([a for a in self.countries if len(a) >= 5])
         self.names = counties
@@ -156,7 +160,7 @@ class PlaceReader:
         self._remembered = lru_cache(50_000)(self.read)
 
     def __reduce__(self) -> tuple:
-        return PlaceReader, (self.names, self.aliases)  # caches stay behind
+        return PlaceReader, (self.names, self.aliases, self.stated)  # caches stay behind
 
     @staticmethod
     def core(folded: str) -> str:

@@ -64,7 +64,8 @@ def cut(texts: list[str | None]) -> Cut:
 
     but not after a single letter or a number of one or two digits. Line ends are blanks, hyphens before them go.
     """
-    joined = " \x00 ".join(_HYPHEN.sub("", t).lower() if t else "" for t in texts)
+    # NUL bytes part the texts; those in a text are blanks
+    joined = " \x00 ".join(_HYPHEN.sub("", t).replace("\x00", " ").lower() if t else "" for t in texts)
     b = np.frombuffer((" " + joined + "    ").encode("utf-8", "ignore"), dtype=np.uint8)
     letter = _LETTER[b]
     edge = np.diff(letter.view(np.int8))
@@ -79,7 +80,7 @@ def cut(texts: list[str | None]) -> Cut:
     at = at[~(single | short)]
     nul = np.flatnonzero(b == 0)
     ends = np.sort(np.concatenate([at, nul]))
-    keep = (length > 1) & ~_DIGIT[b[start]] & (length < 4000)
+    keep = (length > 1) & ~_DIGIT[b[start]]
     start, length = start[keep], length[keep]
     if not len(start):
         z = np.zeros(0, dtype=np.int64)
@@ -91,7 +92,9 @@ def cut(texts: list[str | None]) -> Cut:
     total = int(length.sum())
     first = np.cumsum(length) - length
     inside = np.arange(total) - np.repeat(first, length)
-    values = (b[np.repeat(start, length) + inside].astype(np.uint64) + np.uint64(1)) * _POWERS[inside]
+    longest = int(length.max())
+    powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, _B, dtype=np.uint64))
+    values = (b[np.repeat(start, length) + inside].astype(np.uint64) + np.uint64(1)) * powers[inside]
     hashes = np.add.reduceat(values, first)
     codes, distinct = pd.factorize(hashes)
     rep = np.empty(len(distinct), dtype=np.int64)
@@ -132,13 +135,6 @@ class Model:
     bias: np.ndarray
     codes: list[str]
 
-    def rows(self, hashes: np.ndarray) -> np.ndarray:
-        """The row of each hash, -1 where it is unknown."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[i] == hashes, i, -1)
-
 
 def _sum_by(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, values.shape[1]))
@@ -183,18 +179,6 @@ class Prepared:
         return np.add.reduceat(per_word[self.codes] * self.weight[:, None], self.first, axis=0) / self.total + bias
 
 
-@dataclass
-class Model:
-    """Sorted hashes of the known words and subwords, their shares of all words, their embeddings, and the outputs."""
-
-    keys: np.ndarray
-    share: np.ndarray
-    embeddings: np.ndarray
-    weights: np.ndarray
-    bias: np.ndarray
-    codes: list[str]
-
-
 def sentence_scores(c: Cut, m: Model) -> np.ndarray:
     """The logit of every sentence and subject; words sum the outputs of their parts, as these are linear."""
     p = Prepared(c, m.keys, m.share)
@@ -313,20 +297,26 @@ def train(docs: DataFrame, labels: DataFrame, codes: list[str]) -> Model:
         return model
     adam = Adam()
     schema = T.StructType([T.StructField("worker", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    known = spark.sparkContext.broadcast((model.keys, model.share))
     for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(model)
+        sent = spark.sparkContext.broadcast((model.embeddings.astype(np.float32), model.weights, model.bias))
 
         def gradients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for worker, blob in zip(b["worker"], b["blob"], strict=True):
-                    z = _unpack(blob)
-                    _, e, w, bias = gradient(Prepared.load(z, sent.value), z["y"], sent.value)  # noqa: B023
-                    yield pd.DataFrame({"worker": [worker], "blob": [_pack(e=e.astype(np.float32), w=w, bias=bias)]})
-
-        sums: dict[str, np.ndarray] = {}
+                    z, (embeddings, weights, outputs) = _unpack(blob), sent.value  # noqa: B023
+                    m = Model(*known.value, embeddings.astype(np.float64), weights, outputs, codes)
+                    _, e, w, bias = gradient(Prepared.load(z, m), z["y"], m)
+                    # only what the worker's documents touch
+                    rows = np.unique(z["rows"])
+                    yield pd.DataFrame({"worker": [worker], "blob": [_pack(e=e[rows].astype(np.float32), rows=rows, w=w, bias=bias)]})
+
+        sums = {"e": np.zeros_like(model.embeddings), "w": np.zeros_like(model.weights), "bias": np.zeros_like(model.bias)}
         for r in sorted(ready.select("worker", "blob").mapInPandas(gradients, schema).collect(), key=lambda r: r["worker"]):
-            for k, v in _unpack(r["blob"]).items():
-                sums[k] = sums.get(k, 0) + v.astype(np.float64) / size["n"]
+            z = _unpack(r["blob"])
+            sums["e"][z["rows"]] += z["e"].astype(np.float64) / size["n"]
+            sums["w"] += z["w"] / size["n"]
+            sums["bias"] += z["bias"] / size["n"]
         sent.destroy()
         adam.t += 1
         adam.step("e", model.embeddings, sums["e"] + DECAY * model.embeddings, RATE)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stemma.functions.dates import NONE, with_dates
 from stemma.functions.text import fold
 from stemma.llm.places import read_places, reader_for
+from stemma.tables import settle
 
 FIELDS = ("birth_date", "birth_place", "death_date", "occupation")
 # Texts in an occupation that state none.
@@ -32,7 +33,8 @@ def best_values(groups: DataFrame, records: DataFrame, places: DataFrame, values
     text = F.trim(F.coalesce(F.col("occupation"), F.lit("")))
     told = F.when(text.rlike(r"[\p{L}\p{N}]") & ~F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " ")).isin(*NO_OCCUPATION), 1).otherwise(0)
     stated = records.where(F.trim("birth_place") != "").groupBy(F.col("birth_place").alias("value")).agg(F.count("*").alias("n"))
-    levels = read_places(stated, reader_for(places)).select(F.col("value").alias("birth_place"), "levels")
+    # used twice
+    levels = settle(read_places(stated, reader_for(places)).select(F.col("value").alias("birth_place"), "levels"))
     rows = (
         with_dates(records.where(F.col("source_ref").isNotNull()).select("source_ref", "quay", "changed_at", *FIELDS), {"birth_date": "born", "death_date": "died"})
         .join(levels, "birth_place", "left")

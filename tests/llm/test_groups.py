@@ -209,3 +209,20 @@ def test_hot_blocks_lose_no_pair(spark, monkeypatch):
 def test_tokens_round_trip(text):
     e = tokens.encoding(tokens.VOCABULARY)
     assert e.decode(e.encode_ordinary(text)) == text
+
+
+def test_many_kinds_of_containers(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    kinds = [(f"k{i}", i + 5) for i in range(1202)] + [(None, 5), ("zero", 0), ("null", None)]
+    packed = packing.pack_containers(docs, spark.createDataFrame(kinds, "container_kind string, capacity_tokens int"))
+    assert packed.select("container_kind").distinct().count() == 1202 and packed.count() == 2404
+    with pytest.raises(ValueError, match="two capacities"):
+        packing.pack_containers(docs, spark.createDataFrame([("a", 5), ("a", 6)], "container_kind string, capacity_tokens int"))
+    assert packing.pack_containers(docs, spark.createDataFrame([], "container_kind string, capacity_tokens int")).count() == 0
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('word ', id) as text", "concat('s', id % 1500) as source")
+    targets = spark.range(1500).selectExpr("concat('s', id) as source", "1.0 / 1500 as target_weight", "2 as max_repeats")
+    mixed = mixing.mix(docs, targets)
+    assert mixed.select("source").distinct().count() == 1500 and mixed.agg({"copies": "max"}).first()[0] <= 2

@@ -82,3 +82,10 @@ def test_without_labels_or_documents(spark, corpus):
     assert s.subjects(docs, labels.limit(0), areas).count() == 0
     assert s.subjects(docs.limit(0), labels, areas).count() == 0
     assert s.subjects(docs, labels, areas.limit(0)).count() == 0
+
+
+def test_nul_bytes_and_long_words():
+    texts = ["one two. three four.", "five\x00 six. seven \x00", "eight nine.", "x" * 9000 + " ten. " + "x" * 9000]
+    c = s.cut(texts)
+    assert c.document.tolist() == [0, 0, 1, 1, 2, 3, 3]
+    assert len(c.hashes) == 11 and c.codes[-1] == c.codes[-3]
