@@ -35,25 +35,23 @@ def abbreviates(brief: Column, word: Column) -> Column:
     return F.regexp(word, pattern)
 
 
-def slips(words: DataFrame, groups: DataFrame) -> DataFrame:
+def slips(words: DataFrame) -> DataFrame:
     """(x, y): for each group x that reads as a slip of a more frequent one, the nearest and most frequent y.
 
-    words has (word, name), name the group of the word; groups has (name, f). Words of 4 letters may differ by one edit, of 7 by
-    two, or by one swap of neighbours; 3 letters or more may be the beginning of a word that is longer by two. x must be far
-    rarer than y; of two that occur once each the later one counts as the more frequent.
+    words has (word, name, f): name is the group of the word, f the uses of the group. Words of 4 letters may differ by one edit, of
+    7 by two, or by one swap of neighbours; 3 letters or more may be the beginning of a word that is longer by two. x must be
+    far rarer than y; of two that occur once each the later one counts as the more frequent.
     """
     near = segment_join(words.select(F.col("word").alias("name")), [], short=4, long=7).select("a", "b")
-    letters = words.where(F.length("word") >= 4).select("word", F.array_join(F.array_sort(F.split("word", "")), "").alias("letters"))
+    letters = words.where(F.length("word") >= 4).select("word", F.xxhash64(F.array_sort(F.split("word", ""))).alias("letters"))
     swapped = letters.alias("x").join(letters.alias("y"), "letters").where("x.word < y.word").select(F.col("x.word").alias("a"), F.col("y.word").alias("b")).where(F.levenshtein("a", "b", 2).between(0, 2))
     pairs = near.unionAll(swapped).distinct()
     # a swap is one slip
-    pairs = pairs.withColumn("d", F.least(F.levenshtein("a", "b"), F.when(F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", "")), 1).otherwise(9)))
-    begun = words.where(F.length("word") >= 5).select(F.col("word").alias("b"), F.explode(F.expr("transform(sequence(3, length(word) - 2), i -> left(word, i))")).alias("a"))
-    begun = begun.join(words.select(F.col("word").alias("a")), "a", "left_semi").select("a", "b", F.lit(3).alias("d"))
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).unionAll(begun)
-    of = words.join(groups, "name")
-    x, y = of.select(F.col("word").alias("a"), F.col("name").alias("x"), F.col("f").alias("fx")), of.select(F.col("word").alias("b"), F.col("name").alias("y"), F.col("f").alias("fy"))
-    far = both.join(x, "a").join(y, "b").where((F.col("x") != F.col("y")) & (F.col("fx") <= 1 + F.col("fy") / F.when(F.col("d") == 3, CUT_RATIO).otherwise(SLIP_RATIO)) & (F.struct("fy", "y") > F.struct("fx", "x")))
+    d = F.least(F.levenshtein("a", "b"), F.when(F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", "")), 1).otherwise(9)).alias("d")
+    both = pairs.select(F.explode(F.array(F.struct("a", "b", d), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), d))).alias("p")).select("p.*")
+    begun = words.where(F.length("word") >= 5).select(F.col("word").alias("b"), F.explode(F.expr("transform(sequence(3, length(word) - 2), i -> left(word, i))")).alias("a")).select("a", "b", F.lit(3).alias("d"))
+    x, y = words.select(F.col("word").alias("a"), F.col("name").alias("x"), F.col("f").alias("fx")), words.select(F.col("word").alias("b"), F.col("name").alias("y"), F.col("f").alias("fy"))
+    far = both.unionAll(begun).join(x, "a").join(y, "b").where((F.col("x") != F.col("y")) & (F.col("fx") <= 1 + F.col("fy") / F.when(F.col("d") == 3, CUT_RATIO).otherwise(SLIP_RATIO)) & (F.struct("fy", "y") > F.struct("fx", "x")))
     return far.groupBy("x").agg(F.max_by("y", F.struct(-F.col("d"), "fy", "y")).alias("y"))
 
 
@@ -78,31 +76,32 @@ def word_classes(words: DataFrame, told: DataFrame, by_sound: bool = True) -> Da
     the most frequent word of a class. Initials stand for themselves. Without by_sound words are compared as they are, and
     there are no slips.
     """
-    known = words.where((F.length("word") > 1)).withColumn("name", F.when(F.col("word").endswith(".") | F.lit(not by_sound), F.col("word")).otherwise(sounds("word")))
-    known = settle(known.where("name != ''"))
-    groups = settle(known.groupBy("name").agg(F.sum("f").alias("f")))
-    named = known.select("word", "name")
+    named = words.where(F.length("word") > 1).withColumn("name", F.when(F.col("word").endswith(".") | F.lit(not by_sound), F.col("word")).otherwise(sounds("word"))).where("name != ''")
+    # (word, name, own, f): the word, its group, its uses and those of the group
+    known = settle(named.select("word", "name", F.col("f").alias("own"), F.sum("f").over(Window.partitionBy("name")).alias("f")))
     sides = told.where((F.length("x") > 1) & (F.length("y") > 1))
-    both = sides.select("x", "y", "n").unionAll(sides.where("x != y").select(F.col("y").alias("x"), F.col("x").alias("y"), "n"))
+    side = lambda w, n, f: known.select(F.col("word").alias(w), F.col("name").alias(n), F.col("f").alias(f))
     ranked = (
-        both.join(named.select(F.col("word").alias("x"), F.col("name").alias("a")), "x")
-        .join(named.select(F.col("word").alias("y"), F.col("name").alias("b")), "y")
-        .groupBy("a", "b").agg(F.sum("n").alias("n"))
+        sides.join(side("x", "a", "fa"), "x").join(side("y", "b", "fb"), "y")
+        .select(F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct("a", "fa", "b", "fb", "n"))).otherwise(F.array(F.struct("a", "fa", "b", "fb", "n"), F.struct(F.col("b").alias("a"), F.col("fb").alias("fa"), F.col("a").alias("b"), F.col("fa").alias("fb"), "n")))).alias("p"))
+        .select("p.*").groupBy("a", "fa", "b", "fb").agg(F.sum("n").alias("n"))
         .withColumn("cases", F.sum("n").over(Window.partitionBy("a")))
         .where("a != b")
-        .join(groups.select(F.col("name").alias("a"), F.col("f").alias("fa")), "a")
-        .join(groups.select(F.col("name").alias("b"), F.col("f").alias("fb")), "b")
     )
     brief = F.col("a").endswith(".")
     fit = ranked.where(~F.col("b").endswith(".") & (brief | (F.struct("fb", "b") > F.struct("fa", "a")))).where(
         F.when(brief, (F.col("n") >= 2) & (F.col("n") >= 0.8 * F.col("cases"))).otherwise(F.col("n") >= LEAST_SHARE * F.col("cases"))
     )
-    by_owner = fit.groupBy("a").agg(F.max_by("b", F.struct("n", "fb", "b")).alias("b")).select(F.col("a").alias("x"), F.col("b").alias("y"))
-    by_slip = slips(named.where(~F.col("word").endswith(".")), groups).join(by_owner.select("x"), "x", "left_anti")
-    at = roots(by_owner.unionAll(by_slip) if by_sound else by_owner)
+    parents = fit.groupBy(F.col("a").alias("x")).agg(F.max_by("b", F.struct("n", "fb", "b")).alias("told"))
+    if by_sound:
+        guessed = slips(known.where(~F.col("word").endswith(".")).select("word", "name", "f"))
+        parents = parents.join(guessed, "x", "full").select("x", F.coalesce("told", "y").alias("y"))
+    else:
+        parents = parents.withColumnRenamed("told", "y")
+    at = roots(parents)
     placed = known.join(at.withColumnRenamed("x", "name"), "name", "left").withColumn("class", F.coalesce("root", "name"))
-    best = placed.where(~F.col("word").endswith(".")).groupBy("class").agg(F.max_by("word", F.struct("f", "word")).alias("best"))
-    return settle(placed.join(best, "class").where("word != best").select("word", F.col("best").alias("root")))
+    best = F.max(F.when(~F.col("word").endswith("."), F.struct("own", "word"))).over(Window.partitionBy("class"))["word"]
+    return settle(placed.select("word", best.alias("root")).where("word != root"))
 
 
 def told_given(persons: DataFrame) -> DataFrame:

@@ -27,13 +27,13 @@ SETTLED = 0.01
 #: A block of more than so many pairs is hot: its pairs of equal further parts come first, the others in chunks of so many pairs.
 BLOCK_PAIRS = 200_000
 PARTS = T.StructType([
-    T.StructField("id", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("surname", "first", "middle", "suffix")), T.StructField("others", T.ArrayType(T.StringType())),
+    T.StructField("side", T.IntegerType()), T.StructField("id", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("surname", "first", "middle", "suffix")), T.StructField("others", T.ArrayType(T.StringType())),
     T.StructField("birth_place", T.StringType()), T.StructField("birth_date", T.StringType()),
 ])
 
 
 def read_names(persons: DataFrame) -> DataFrame:
-    """(id, surname, first, middle, suffix, others, birth_place, birth_date): the parts of each person's names as typed.
+    """(side, id, surname, first, middle, suffix, others, birth_place, birth_date): the parts of each person's names as typed.
 
     others holds the surnames of the alternate names. Parts that are not stated are empty.
     """
@@ -41,12 +41,12 @@ def read_names(persons: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, name, more, place, born in zip(b["id"], b["full_name"], b["alternate_names"], b["birth_place"], b["birth_date"], strict=True):
+            for side, i, name, more, place, born in zip(b["side"], b["id"], b["full_name"], b["alternate_names"], b["birth_place"], b["birth_date"], strict=True):
                 own = read_name(name)
-                out.append((i, *own, sorted({s for x in (more if more is not None else ()) if (s := read_name(x)[0]) and s != own[0]}), place, born))
+                out.append((side, i, *own, sorted({s for x in (more if more is not None else ()) if (s := read_name(x)[0]) and s != own[0]}), place, born))
             yield pd.DataFrame(out, columns=PARTS.names)
 
-    return persons.select("id", "full_name", "alternate_names", "birth_place", "birth_date").mapInPandas(read, PARTS)
+    return persons.mapInPandas(read, PARTS)
 
 
 def read_towns(values: DataFrame, reader: PlaceReader) -> DataFrame:
@@ -63,22 +63,25 @@ def read_towns(values: DataFrame, reader: PlaceReader) -> DataFrame:
     return values.mapInPandas(read, "birth_place string, town string, county string, country string")
 
 
-def read_persons(persons: list[DataFrame], reader: PlaceReader, evidence: DataFrame | None = None) -> list[DataFrame]:
-    """(id, surname, first, middle, suffix, others, town, county, country, d): the comparable parts of the persons of each source.
+def read_sources(persons: list[DataFrame], reader: PlaceReader, evidence: DataFrame | None = None) -> DataFrame:
+    """(side, id, surname, first, middle, suffix, others, town, county, country, d): the comparable parts of the persons of all sources; side is the place of the source.
 
     Each source has id, full_name, alternate_names, birth_date and birth_place. Given names are replaced by their roots, which
     are learned from the alternate names of all sources and of evidence; equal places of all sources are read once.
     """
-    read = [settle(read_names(p)) for p in persons]
-    values, told, uses = (p.select("birth_place") for p in read), (p.select("full_name", "alternate_names") for p in [*persons, *([] if evidence is None else [evidence])]), (p.select("first", "middle") for p in read)
     union = lambda parts: reduce(DataFrame.unionAll, parts)
-    towns = settle(read_towns(union(values).where(F.trim("birth_place") != "").distinct(), reader))
-    classes = given_classes(union(uses), union(told))
-    out = []
-    for p in read:
-        placed = with_roots(p, classes, ["first", "middle"]).join(towns, "birth_place", "left").drop("birth_place").fillna("", ["town", "county", "country"])
-        out.append(with_dates(placed, {"birth_date": "d"}).drop("birth_date"))
-    return out
+    columns = ["id", "full_name", "alternate_names", "birth_place", "birth_date"]
+    read = settle(read_names(union(p.select(F.lit(i).alias("side"), *columns) for i, p in enumerate(persons))))
+    towns = settle(read_towns(read.select("birth_place").where(F.trim("birth_place") != "").distinct(), reader))
+    classes = given_classes(read.select("first", "middle"), union(p.select("full_name", "alternate_names") for p in [*persons, *([] if evidence is None else [evidence])]))
+    placed = with_roots(read, classes, ["first", "middle"]).join(towns, "birth_place", "left").drop("birth_place").fillna("", ["town", "county", "country"])
+    return with_dates(placed, {"birth_date": "d"}).drop("birth_date")
+
+
+def read_persons(persons: list[DataFrame], reader: PlaceReader, evidence: DataFrame | None = None) -> list[DataFrame]:
+    """What read_sources says of each source."""
+    read = settle(read_sources(persons, reader, evidence))
+    return [read.where(F.col("side") == i).drop("side") for i in range(len(persons))]
 
 
 def collapse(read: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +96,7 @@ def _skeleton(surname: Column) -> Column:
     return F.substring(F.concat(F.substring(surname, 1, 1), F.regexp_replace(F.substring(surname, 2, 99), "[aeiouh]", "")), 1, 6)
 
 
-def block_keys(p: DataFrame) -> DataFrame:
+def block_keys(p: DataFrame, *keep: str) -> DataFrame:
     """(rep, key, finer), hashed: the blocks of each person: by date, by surname and initial, by given name, town and year.
 
     Two keys of one hash only bring more pairs.
@@ -113,14 +116,19 @@ def block_keys(p: DataFrame) -> DataFrame:
     front = F.when((F.length("surname") > 4) & whole, F.concat_ws("|", F.lit("s"), F.substring("surname", 1, 5), "first"))
     keys = F.array_compact(F.concat(F.array(day, month, lived, tail, head, foot, front), names))
     finer = F.concat_ws("|", "first", F.substring("surname", 1, 3), "d.y", F.substring("town", 1, 4))
-    return p.select("rep", F.xxhash64(finer).alias("finer"), F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key"))
+    return p.select(*keep, "rep", F.xxhash64(finer).alias("finer"), F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key"))
+
+
+def hot_blocks(ka: DataFrame, kb: DataFrame) -> DataFrame:
+    """(key, na, nb) of the blocks with more than BLOCK_PAIRS pairs."""
+    na, nb = ka.groupBy("key").agg(F.count("*").alias("na")), kb.groupBy("key").agg(F.count("*").alias("nb"))
+    return settle(na.join(nb, "key").where(F.col("na") * F.col("nb") > BLOCK_PAIRS))
 
 
 def blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The keys of either side, as of block_keys, and (key, na, nb) of the hot blocks."""
+    """The keys of either side, as of block_keys, and the hot blocks."""
     ka, kb = settle(block_keys(a)), settle(block_keys(b))
-    na, nb = ka.groupBy("key").agg(F.count("*").alias("na")), kb.groupBy("key").agg(F.count("*").alias("nb"))
-    return ka, kb, settle(na.join(nb, "key").where(F.col("na") * F.col("nb") > BLOCK_PAIRS))
+    return ka, kb, hot_blocks(ka, kb)
 
 
 def candidates(a: DataFrame, b: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -226,9 +234,9 @@ def _on_grid(met: DataFrame) -> DataFrame:
     return met.select("l", "r", *(F.round(v[n] * g).cast("tinyint").alias(n) for n, g in GRID.items()))
 
 
-def all_vectors(a: DataFrame, b: DataFrame) -> DataFrame:
+def all_vectors(a: DataFrame, b: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """As compared: the vectors of all pairs that share a block."""
-    found = blocks(a, b)
+    found = found or blocks(a, b)
     first, rest = compared(candidates(a, b, found), a, b), hot_rest(a, b, found)
     return first if rest is None else first.unionByName(rest)
 
@@ -273,7 +281,7 @@ class Mixture:
                 break
 
 
-def fit_posteriors(vectors: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+def fit_posteriors(vectors: DataFrame, people: DataFrame) -> DataFrame:
     """(l, r, confidence) of the pairs whose posterior is not negligible.
 
     Pairs with one vector share one posterior, so EM runs over the distinct vectors with their numbers, at most the product
@@ -297,7 +305,7 @@ def fit_posteriors(vectors: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
         scored = settle(vectors.join(F.broadcast(known), names).select("l", "r", *names, "p"))
         if bounded is not None:
             drop_settled(bounded)
-        bounded = settle(_transitive(scored, a, b, mix, names))
+        bounded = _transitive(scored, people, mix, names)
         drop_settled(scored)
         cut = bounded.groupBy(*names).agg(F.sum("confidence").alias("mass")).toPandas()
         merged = table.merge(cut, on=names, how="left")
@@ -309,22 +317,28 @@ def fit_posteriors(vectors: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return bounded.select("l", "r", "confidence")
 
 
-def _transitive(scored: DataFrame, a: DataFrame, b: DataFrame, mix: Mixture, names: list[str]) -> DataFrame:
-    """Bounds each posterior by those of the best match of either side; linear in the pairs, no pairs within a group arise."""
-    best_r = scored.groupBy("l").agg(F.max_by("r", F.struct("p", "r")).alias("best"), F.max("p").alias("top"))
-    best_l = scored.groupBy("r").agg(F.max_by("l", F.struct("p", "l")).alias("best"), F.max("p").alias("top"))
-    out = scored
-    for side, best, people in (("r", best_r, b), ("l", best_l, a)):
-        other = "l" if side == "r" else "r"
-        rivals = out.join(best, other).where(F.col(side) != F.col("best")).select(F.least(side, "best").alias("l"), F.greatest(side, "best").alias("r")).distinct()
-        # a record that matches both under two surnames vouches for the surnames, not for the rest
-        same = compared(rivals, people, people).withColumn("surname", F.lit(GRID["surname"]).cast("tinyint"))
-        d = _posterior(same, mix, names).select(F.col("l").alias("s1"), F.col("r").alias("s2"), F.col("q"))
-        joined = out.join(best, other).withColumn("s1", F.least(F.col(side), F.col("best"))).withColumn("s2", F.greatest(F.col(side), F.col("best")))
-        out = joined.join(d, ["s1", "s2"], "left").select(
-            "l", "r", *names, F.when((F.col("s1") == F.col("s2")), F.col("p")).otherwise(F.least("p", F.coalesce("q", F.lit(1.0)) / F.greatest(F.col("top"), F.lit(0.01)))).alias("p")
-        )
-    return out.withColumnRenamed("p", "confidence")
+def _transitive(scored: DataFrame, people: DataFrame, mix: Mixture, names: list[str]) -> DataFrame:
+    """Bounds each posterior by those of the best match of either side; linear in the pairs, no pairs within a group arise.
+
+    people has the persons of both sides. The rivals of both are compared in one join.
+    """
+    best_r = scored.groupBy("l").agg(F.max_by("r", F.struct("p", "r")).alias("best_r"), F.max("p").alias("top_l"))
+    best_l = scored.groupBy("r").agg(F.max_by("l", F.struct("p", "l")).alias("best_l"), F.max("p").alias("top_r"))
+    met = settle(scored.join(best_r, "l").join(best_l, "r"))
+    pair = lambda x, y: F.when(F.col(x) != F.col(y), F.struct(F.least(x, y).alias("l"), F.greatest(x, y).alias("r")))
+    rivals = met.select(F.explode(F.array_compact(F.array(pair("r", "best_r"), pair("l", "best_l")))).alias("v")).select("v.l", "v.r").distinct()
+    # a record that matches both under two surnames vouches for the surnames, not for the rest
+    same = compared(rivals, people, people).withColumn("surname", F.lit(GRID["surname"]).cast("tinyint"))
+    d = settle(_posterior(same, mix, names).select(F.col("l").alias("s1"), F.col("r").alias("s2"), F.col("q")))
+    out = met
+    for side, top in (("r", "top_l"), ("l", "top_r")):
+        keyed = out.withColumn("s1", F.least(side, f"best_{side}")).withColumn("s2", F.greatest(side, f"best_{side}"))
+        bound = F.when(F.col("s1") == F.col("s2"), F.col("p")).otherwise(F.least("p", F.coalesce("q", F.lit(1.0)) / F.greatest(F.col(top), F.lit(0.01))))
+        out = keyed.join(d, ["s1", "s2"], "left").withColumn("p", bound).drop("q", "s1", "s2")
+    out = settle(out.select("l", "r", *names, F.col("p").alias("confidence")))
+    drop_settled(met)
+    drop_settled(d)
+    return out
 
 
 def _posterior(vectors: DataFrame, mix: Mixture, names: list[str]) -> DataFrame:
@@ -348,10 +362,16 @@ def match(left: DataFrame, right: DataFrame, places: DataFrame, least: float = S
     Both sides have id, full_name, alternate_names, birth_date and birth_place. Rows that compare alike are matched once and
     expanded at the end. evidence has full_name and alternate_names of more persons, from which only variants of given names are learned. Rows without a name match nothing; other missing parts neither speak for a match nor against it.
     """
-    reader = reader_for(places)
-    (a, of_a), (b, of_b) = (collapse(settle(p)) for p in read_persons([left, right], reader, evidence))
-    a, b = settle(a.where("surname != '' or first != ''")), settle(b.where("surname != '' or first != ''"))
-    vectors = settle(all_vectors(a, b))
-    found = fit_posteriors(vectors, a, b).where(F.col("confidence") >= least)
+    # both sides in one table: rows that compare alike share a rep, which differs between the sides
+    read = settle(read_sources([left, right], reader_for(places), evidence).where("surname != '' or first != ''"))
+    read = read.withColumn("rep", F.xxhash64(*(c for c in read.columns if c != "id")))
+    people = settle(read.drop("id").dropDuplicates(["rep"]))
+    sides = [people.where(F.col("side") == i) for i in (0, 1)]
+    keys = settle(block_keys(people, "side"))
+    ka, kb = (keys.where(F.col("side") == i).drop("side") for i in (0, 1))
+    a, b = (p.drop("side") for p in sides)
+    of_a, of_b = (read.where(F.col("side") == i).select("rep", "id") for i in (0, 1))
+    vectors = settle(all_vectors(a, b, (ka, kb, hot_blocks(ka, kb))))
+    found = fit_posteriors(vectors, people.drop("side")).where(F.col("confidence") >= least)
     x, y = of_a.select(F.col("rep").alias("l"), F.col("id").alias("left_id")), of_b.select(F.col("rep").alias("r"), F.col("id").alias("right_id"))
     return found.join(x, "l").join(y, "r").select("left_id", "right_id", "confidence")
