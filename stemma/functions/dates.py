@@ -114,3 +114,20 @@ def date_similarity(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column, same
     """100 for equal dates, 90 for overlapping year bounds, else 20 less for each year of gap, 0 beyond 5."""
     gap = F.greatest(a_lo - b_hi, b_lo - a_hi)
     return F.when(same, 100).when(gap <= 0, 90).when(gap <= 5, 100 - 20 * gap).otherwise(0)
+
+
+def qualified_bounds(text: Column) -> Column:
+    """struct(lo, hi): the years of a date with its leading word: ABT, CAL and EST allow two years, BEF one to five before, AFT after; null without a year."""
+    years = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(\d{4})\b"), F.lit(1)), lambda y: y.cast("int"))
+    word = F.upper(F.substring(F.trim(text), 1, 4))
+    lo, hi = F.array_min(years), F.array_max(years)
+    low = F.when(word.isin("ABT ", "CAL ", "EST "), lo - 2).when(word == "BEF ", lo - 5).when(word == "AFT ", lo + 1).otherwise(lo)
+    high = F.when(word.isin("ABT ", "CAL ", "EST "), hi + 2).when(word == "BEF ", hi - 1).when(word == "AFT ", hi + 5).otherwise(hi)
+    return F.when(F.size(years) > 0, F.struct(low.alias("lo"), high.alias("hi")))
+
+
+def text_date_similarity(a: Column, b: Column) -> Column:
+    """As date_similarity, of dates as texts with their leading words; 0 where one has no year, 100 for equal texts."""
+    x, y = qualified_bounds(a), qualified_bounds(b)
+    same = F.lower(F.trim(a)) == F.lower(F.trim(b))
+    return F.when(a.isNull() | b.isNull(), None).when(same, 100).when(x.isNull() | y.isNull(), 0).otherwise(date_similarity(x["lo"], x["hi"], y["lo"], y["hi"], F.lit(False)))

@@ -28,3 +28,9 @@ def normalize_ocr(col: str | Column) -> Column:
         return texts.map(normalize_line_text)
 
     return run(col)
+
+
+def distinct_lines(text: Column) -> Column:
+    """Blanks collapsed, blank and repeated lines dropped, order kept; letters stay as they are. Null where nothing is left."""
+    lines = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != ""))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))

@@ -43,3 +43,8 @@ def name_split(col: Column) -> Column:
     given = F.when(text.rlike(r"^[^/]*/[^/]*/"), F.trim(F.regexp_extract(text, r"^([^/]*)/", 1))).when(n > 1, F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), " ")).otherwise(F.when(n == 1, words[0]).otherwise(""))
     surname = F.when(text.rlike(r"^[^/]*/[^/]*/"), F.trim(slashed)).when(n > 1, F.try_element_at(words, F.lit(-1))).otherwise("")
     return F.struct(given.alias("given"), surname.alias("surname"))
+
+
+def sha_key(*parts: Column) -> Column:
+    """The hash of texts, a line each; null counts as empty."""
+    return F.sha2(F.concat_ws("\n", *(F.coalesce(p, F.lit("")) for p in parts)), 256)

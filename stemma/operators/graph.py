@@ -38,46 +38,82 @@ def connected(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reach(both_ways(edges), roots)
 
 
-def cycle_members(edges: DataFrame, roots: DataFrame, most_hops: int = 64) -> DataFrame:
-    """(node): members of cycles among what the roots reach: nodes left after repeatedly dropping those without a way in or out."""
-    near = reach(edges, roots, most_hops).select("node")
-    core = settle(edges.join(near.select(F.col("node").alias("src")), "src", "left_semi").join(near.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
-    n = core.count()
-    while n:
-        core = settle(
-            core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        )
-        m = core.count()
-        if m == n:
-            break
-        n = m
-    # what is left lies on a cycle or between two; a node on a cycle reaches itself
-    nodes = [r["src"] for r in core.select("src").distinct().limit(10_001).collect()] if n else []
-    if len(nodes) > 10_000:
-        raise ValueError("more than 10000 nodes on or between cycles")
-    out: dict[object, set] = {}
-    for r in core.collect() if n else []:
-        out.setdefault(r["src"], set()).add(r["dst"])
-    loops = []
-    for start in nodes:
-        stack, met = list(out.get(start, ())), set()
-        while stack:
-            x = stack.pop()
-            if x not in met:
-                met.add(x)
-                stack.extend(out.get(x, ()))
-        if start in met:
-            loops.append((start,))
-    return edges.sparkSession.createDataFrame(loops, edges.select(F.col("src").alias("node")).schema)
-
-
-def canonical_pointers(merged: DataFrame, most_hops: int = 32) -> DataFrame:
-    """(pointer, canonical): follows a merge map (pointer, target) to its end; loops end at their smallest member."""
-    current = settle(merged.select("pointer", F.col("target").alias("canonical")).where("pointer != canonical"))
-    for _ in range(most_hops):
-        step = current.join(merged.select(F.col("pointer").alias("canonical"), F.col("target").alias("further")), "canonical", "left")
-        moved = step.where("further is not null and further != canonical and further != pointer")
-        if moved.isEmpty():
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): the largest label that the edges (src, dst) carry to each node of labels, from itself or from before it."""
+    while True:
+        came = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("new")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("new").alias("new"))
+        step = settle(labels.join(came, "node", "left").select("node", F.greatest("label", F.coalesce("new", "label")).alias("label"), (F.col("new") > F.col("label")).alias("moved")))
+        labels = step.select("node", "label")
+        if step.where("moved").isEmpty():
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on cycles of edges (src, dst): nodes that reach each other share a component, its largest node.
+
+    Nodes without a way in or out go first. Then the largest node before each is carried forward, and back from it among the nodes
+    that have it: those it comes back to are a component. What is left goes round again; nothing comes to the driver but counts.
+    """
+    core = settle(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    alone = core.where("src = dst").select(F.col("src").alias("node"))
+    core, found, n = settle(core.where("src != dst")), [alone.select("node", F.col("node").alias("component"))], -1
+    while True:
+        while (m := core.count()) != n and m:
+            n = m
+            core = settle(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if not m:
             break
-        current = settle(step.select("pointer", F.when(F.col("further") != F.col("pointer"), F.col("further")).otherwise(F.col("canonical")).alias("canonical")).select("pointer", F.coalesce("canonical", "pointer").alias("canonical")))
-    return current
+        nodes = core.select(F.col("src").alias("node")).distinct()
+        forward = settle(_spread(core, nodes.select("node", F.col("node").alias("label"))))
+        same = settle(core.join(forward.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(forward.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst", "a"))
+        # back from the node that gave its name to the label
+        back = reach(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), forward.where("node = label").select("node")).select("node")
+        whole = settle(back.join(forward, "node").select("node", F.col("label").alias("component")))
+        found.append(whole.join(whole.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_semi").select("node", "component"))
+        rest = core.join(whole.select(F.col("node").alias("src")), "src", "left_anti").join(whole.select(F.col("node").alias("dst")), "dst", "left_anti")
+        core, n = settle(rest.select("src", "dst")), -1
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return settle(out.groupBy("node").agg(F.max("component").alias("component")))
+
+
+def cycle_members(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): members of cycles among what the roots reach."""
+    near = reach(edges, roots).select("node")
+    inside = edges.join(near.select(F.col("node").alias("src")), "src", "left_semi").join(near.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return strong_components(inside).select("node")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node linked directly or indirectly by the edges (src, dst), whatever their direction.
+
+    Each round takes the smallest label around a node and then that label's own, which halves the ways that are left.
+    """
+    both = settle(both_ways(edges.where("src is not null and dst is not null")).distinct())
+    labels = settle(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
+        least = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("least"))
+        own = labels.select(F.col("node").alias("least"), F.col("label").alias("own"))
+        step = settle(least.join(own, "least").select("node", F.least("least", "own").alias("new"), "label"))
+        labels = step.select("node", F.col("new").alias("label"))
+        if step.where("new != label").isEmpty():
+            return labels.withColumnRenamed("label", "component")
+
+
+def canonical_pointers(merged: DataFrame) -> DataFrame:
+    """(pointer, canonical): follows a merge map (pointer, target) to its end, however long; loops end at their smallest member.
+
+    A pointer has one target; of several the smallest counts. Pointers that end at themselves have no row.
+    """
+    one = settle(merged.where("pointer is not null and target is not null and pointer != target").groupBy("pointer").agg(F.min("target").alias("target")))
+    loops = strong_components(one.select(F.col("pointer").alias("src"), F.col("target").alias("dst")))
+    least = loops.groupBy("component").agg(F.min("node").alias("least"))
+    ends = loops.join(least, "component").select(F.col("node").alias("pointer"), "least")
+    current = settle(one.join(ends, "pointer", "left").select("pointer", F.coalesce("least", "target").alias("canonical")).where("pointer != canonical"))
+    while True:
+        step = settle(current.join(current.select(F.col("pointer").alias("canonical"), F.col("canonical").alias("further")), "canonical", "left").select("pointer", F.coalesce("further", "canonical").alias("canonical"), F.col("further").isNotNull().alias("moved")))
+        current = step.select("pointer", "canonical")
+        if step.where("moved").isEmpty():
+            return current

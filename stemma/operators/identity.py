@@ -163,6 +163,12 @@ class Assessment:
         return self.score >= SAFE_SCORE and self.weight >= SAFE_WEIGHT and len(self.fields) >= SAFE_FIELDS and not self.conflicts and anchored
 
 
+def evidence(parts: list[tuple[Column, float]]) -> Column:
+    """The weighted mean of scores from 0 to 100 over those that are not null; null if none is."""
+    total = sum((F.when(s.isNotNull(), F.lit(float(w))).otherwise(0.0) for s, w in parts), F.lit(0.0))
+    return F.when(total > 0, sum((F.coalesce(s, F.lit(0.0)) * float(w) for s, w in parts), F.lit(0.0)) / total)
+
+
 def _filled(events: list[dict], key: str) -> list[str]:
     return list(dict.fromkeys(e[key] for e in events or () if e.get(key)))
 
@@ -298,3 +304,68 @@ def merged_person(a: dict, b: dict) -> dict:
     """All names, facts and relatives of both, in order and once; the first one's sex unless it has none."""
     unite = lambda k: list({repr(v): v for v in [*(a[k] or ()), *(b[k] or ())]}.values())
     return a | {k: unite(k) for k in ("names", "birth", "death", "facts", "marriages", *RELATIVES)} | {"sex": a["sex"] or b["sex"]}
+
+
+# Single fields of a person by how they are chosen when two become one.
+DATES, PLACES, PLAIN = ("birth_date", "death_date"), ("birth_place", "death_place"), ("given", "surname", "gender")
+
+
+def choose_fields(first: dict[str, Column], second: dict[str, Column], preferred: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The value of each single field of two persons who become one.
+
+    A preferred value counts if it is one of the two. Else a filled one wins over none; the longer date, the first of equals;
+    the second place only if it has all words of the first and more; otherwise the first.
+    """
+    out = {}
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    for name, x in first.items():
+        a, b = F.coalesce(x, F.lit("")), F.coalesce(second[name], F.lit(""))
+        if name in DATES:
+            pick = F.when(F.length(a) >= F.length(b), a).otherwise(b)
+        elif name in PLACES:
+            pick = F.when((F.size(F.array_except(words(a), words(b))) == 0) & (F.size(F.array_except(words(b), words(a))) > 0), b).otherwise(a)
+        else:
+            pick = a
+        value = F.when(a == "", b).when(b == "", a).otherwise(pick)
+        if preferred and name in preferred:
+            p = F.trim(F.coalesce(preferred[name], F.lit("")))
+            value = F.when((p != "") & ((p == a) | (p == b)), p).otherwise(value)
+        out[name] = value
+    return out
+
+
+def merge_groups(scored: DataFrame, people: DataFrame, resolver: Callable[[dict, dict], dict] | None = None, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """((pointer, canonical), decisions) for scored pairs (l, r, score): as merge_people, without bounds, by groups of linked candidates.
+
+    Persons whom no chain of candidates joins can't affect each other, so the groups are the components of the pairs, and in each
+    the pairs are taken from the best on. The pairs of a group meet in one task with its persons. A resolver is asked within each
+    group, with the bounds of limits for each.
+    """
+    from stemma.operators.graph import components
+    from stemma.tables import settle
+
+    pairs = settle(scored.select("l", "r", F.col("score").cast("double").alias("score")))
+    of = components(pairs.select(F.col("l").alias("src"), F.col("r").alias("dst")))
+    rows = pairs.join(of, F.col("l") == F.col("node")).select("component", "l", "r", "score", F.lit(None).cast("string").alias("person"))
+    who = people.join(of, F.col("pointer") == F.col("node")).select("component", F.lit(None).cast("string").alias("l"), F.lit(None).cast("string").alias("r"), F.lit(None).cast("double").alias("score"), F.to_json(F.struct(*people.columns)).alias("person"))
+    keys = [c.split()[0] for c in ("pointer", "source", "names", "sex", "birth", "death", "facts", "marriages", *RELATIVES)]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        import json
+
+        known = {}
+        for text in part["person"].dropna():
+            p = json.loads(text)
+            known[p["pointer"]] = {k: p.get(k) if p.get(k) is not None else ("" if k in ("pointer", "source", "sex") else []) for k in keys}
+        known = {k: p | {c: [{f: x.get(f, "") or "" for f in _FACT} | ({"tag": x["tag"]} if "tag" in x else {}) for x in p[c]] for c in ("birth", "death", "facts", "marriages")} for k, p in known.items()}
+        found = part[part["l"].notna()]
+        merged, decisions = merge_people([(r.l, r.r, r.score) for r in found.itertuples() if r.l in known and r.r in known], known, resolver, limits)
+        rows = [(p, c, None, None, None, None, None) for p, c in merged.items()]
+        rows += [(None, None, d["left"], d["right"], d["score"], d["disposition"], ", ".join(d.get("conflicts") or d.get("fields") or ())) for d in decisions]
+        return pd.DataFrame(rows, columns=["pointer", "canonical", "l", "r", "score", "disposition", "evidence"])
+
+    out = settle(rows.unionByName(who).groupBy("component").applyInPandas(run, "pointer string, canonical string, l string, r string, score double, disposition string, evidence string"))
+    return out.where("pointer is not null").select("pointer", "canonical"), out.where("pointer is null").select("l", "r", "score", "disposition", "evidence")
+
+
+_FACT = ("value", "date", "place", "country")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -208,26 +209,118 @@ def _document_findings(ls: DataFrame, recs: DataFrame) -> list[DataFrame]:
     return out
 
 
-def generations(parents: DataFrame, root: str, most: int = 64) -> DataFrame:
+def generations(parents: DataFrame, root: str) -> DataFrame:
     """(person, generation): the root's ancestors and the fewest steps to each."""
     spark = parents.sparkSession
     edges = parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct()
-    return reach(edges, spark.createDataFrame([(root,)], "node string"), most).select(F.col("node").alias("person"), F.col("depth").alias("generation"))
+    return reach(edges, spark.createDataFrame([(root,)], "node string")).select(F.col("node").alias("person"), F.col("depth").alias("generation"))
+
+
+# Findings that can be mended at once, and those that a person must judge; others are for research.
+AT_ONCE = (
+    "ANCESTRY_CYCLE", "BIRTH_AFTER_DEATH", "DANGLING_REFERENCE", "DUPLICATE_HEAD", "DUPLICATE_TRLR", "EMPTY_FAMILY", "INVALID_DATE", "INVALID_MARRIAGE_DATE", "LEVEL_SKIP", "MARRIAGE_AFTER_DEATH",
+    "MISSING_HEAD", "MISSING_TRLR", "NONRECIPROCAL_FAMILY_REFERENCE", "NONRECIPROCAL_PERSON_REFERENCE",
+)
+TO_JUDGE = ("ALTERNATIVE_VITAL_EVENTS", "POSSIBLE_DUPLICATE", "POSSIBLE_MARRIED_PRIMARY_NAME")
+
+
+def actionability(code: Column) -> Column:
+    return F.when(code.isin(*AT_ONCE), 0).when(code.isin(*TO_JUDGE), 2).otherwise(1)
+
+
+def parentage(parents: DataFrame, back: DataFrame, near: DataFrame) -> DataFrame:
+    """(person, generation, parentage): how each ancestor of the root is a parent: the pedigrees of the links to children one generation nearer.
+
+    parents has family, parent and child, back person, family, role and pedigree, near person and generation. A link without a
+    pedigree is `birth/unspecified`, the root is `self`.
+    """
+    child = near.select(F.col("person").alias("child"), F.col("generation").alias("g"))
+    link = parents.join(child, "child").join(near.select(F.col("person").alias("parent"), F.col("generation").alias("pg")), "parent").where("pg = g + 1")
+    said = back.where("role = 'FAMC'").groupBy(F.col("person").alias("child"), "family").agg(F.max(F.when(F.col("pedigree") != "", F.col("pedigree"))).alias("pedigree"))
+    how = link.join(said, ["child", "family"], "left").select("parent", F.coalesce("pedigree", F.lit("birth/unspecified")).alias("how")).distinct().groupBy(F.col("parent").alias("person")).agg(F.array_join(F.array_sort(F.collect_list("how")), ", ").alias("how"))
+    return near.join(how, "person", "left").select("person", "generation", F.when(F.col("generation") == 0, "self").otherwise(F.coalesce("how", F.lit("birth/unspecified"))).alias("parentage"))
 
 
 def ranked_findings(findings: DataFrame, ancestors: DataFrame, top: int = 25) -> DataFrame:
-    """The first `top` findings: by severity, ancestors of the root first, nearer generations first, then by id."""
+    """The first `top` findings: by severity, ancestors of the root first, nearer generations first, what can be mended at once first, then by id."""
     near = findings.select("finding_id", F.explode("people").alias("person")).join(ancestors, "person").groupBy("finding_id").agg(F.min("generation").alias("generation"))
     joined = findings.join(near, "finding_id", "left").withColumn("generation", F.coalesce("generation", F.lit(10_000)))
-    return joined.orderBy(severity_rank(F.col("severity")), F.col("generation") == 10_000, "generation", "finding_id").limit(top)
+    return joined.orderBy(severity_rank(F.col("severity")), F.col("generation") == 10_000, "generation", actionability(F.col("code")), "finding_id").limit(top)
+
+
+SECTIONS = (("High-confidence possible duplicates", ("POSSIBLE_DUPLICATE",)), ("Possible married names as primary names", ("POSSIBLE_MARRIED_PRIMARY_NAME",)))
+STRUCTURAL = (
+    "DUPLICATE_HEAD", "DUPLICATE_TRLR", "MISSING_HEAD", "MISSING_TRLR", "MISSING_CHARSET", "PORTABILITY_CHARSET", "MISSING_VERSION", "PORTABILITY_VERSION", "DUPLICATE_XREF", "MALFORMED_XREF", "LEVEL_SKIP",
+    "LONG_LINE", "DANGLING_REFERENCE",
+)
+#: Findings that a section of a report shows, and rows that a resolver is asked about.
+SHOWN, ASKED = 500, 25
+
 
+def _escape(text: object) -> str:
+    return str(text).replace("\\", "\\\\").replace("|", "\\|").replace("\r", " ").replace("\n", " ").strip()
 
-def report(findings: DataFrame, ancestors: DataFrame, top: int = 25) -> str:
-    """A Markdown report: counts by severity, and the ranked findings."""
+
+def _table(df: DataFrame, ancestors: DataFrame, most: int, notes: dict[str, tuple[str, list[str]]]) -> list[str]:
+    rows = ranked_findings(df, ancestors, most + 1).collect()
+    if not rows:
+        return ["No findings in this section.", ""]
+    out = ["| Severity | Finding | Code | People | Families | Evidence |", "|---|---|---|---|---|---|"]
+    for r in rows[:most]:
+        why, research = notes.get(r["finding_id"], ("", []))
+        told = "; ".join([*r["evidence"], *([f"why: {why}"] if why else []), *([f"research: {'; '.join(research)}"] if research else [])])
+        out.append("| " + " | ".join(map(_escape, (r["severity"].upper(), r["finding_id"], r["code"], ", ".join(r["people"]), ", ".join(r["families"]), told))) + " |")
+    return [*out, *(["", f"Only the first {most} are shown; the table of findings has all."] if len(rows) > most else []), ""]
+
+
+def report(findings: DataFrame, ancestors: DataFrame, top: int = 25, relations: DataFrame | None = None, decisions: DataFrame | None = None, notes: dict[str, tuple[str, list[str]]] | None = None) -> str:
+    """A Markdown report: counts by severity, the first actions, ancestors by generation, and sections by kind of finding, then merge decisions.
+
+    relations is what parentage gives, decisions has l, r, score, disposition and evidence, notes what a resolver says of
+    findings. A section shows its first SHOWN rows and says so if there are more.
+    """
+    notes = notes or {}
     counts = {r["severity"]: r["n"] for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
-    escape = lambda s: str(s).replace("\\", "\\\\").replace("|", "\\|").replace("\r", " ").replace("\n", " ")
-    text = ["# Quality report", "", "| Severity | Findings |", "|---|---|", *(f"| {s} | {counts.get(s, 0)} |" for s in SEVERITIES), "", "| Finding | Code | Severity | People | Families | Evidence |", "|---|---|---|---|---|---|"]
-    for r in ranked_findings(findings, ancestors, top).collect():
-        cells = (r["finding_id"], r["code"], r["severity"], ", ".join(r["people"]), ", ".join(r["families"]), ", ".join(r["evidence"]))
-        text.append("| " + " | ".join(map(escape, cells)) + " |")
-    return "\n".join(text) + "\n"
+    text = ["# Quality report", "", "## Summary", "", "| Severity | Findings |", "|---|---|", *(f"| {s} | {counts.get(s, 0)} |" for s in SEVERITIES), "", f"## First {top} actions", "", *_table(findings, ancestors, top, notes)]
+    text += ["## Direct ancestors by generation", "", "| Generation | Person | Parentage |", "|---:|---|---|"]
+    for r in relations.orderBy("generation", "person").limit(SHOWN).collect() if relations is not None else ():
+        text.append(f"| {r['generation']} | {_escape(r['person'])} | {_escape(r['parentage'])} |")
+    direct = findings.join(findings.select("finding_id", F.explode("people").alias("person")).join(ancestors, "person").select("finding_id").distinct(), "finding_id", "left_semi")
+    text += ["", *_table(direct, ancestors, SHOWN, notes)]
+    special = [c for _, codes in SECTIONS for c in codes]
+    kinds = [*((t, F.col("code").isin(*c)) for t, c in SECTIONS), ("General quality", ~F.col("code").isin(*special, *STRUCTURAL)), ("Files and their structure", F.col("code").isin(*STRUCTURAL))]
+    for title, some in kinds:
+        text += [f"## {title}", "", *_table(findings.where(some), ancestors, SHOWN, notes)]
+    text += ["## Merge decisions", ""]
+    rows = decisions.orderBy(F.desc("score"), "l", "r").limit(SHOWN).collect() if decisions is not None else []
+    text += ["| Pair | Score | Disposition | Evidence |", "|---|---:|---|---|", *(f"| {_escape(r['l'])} / {_escape(r['r'])} | {r['score']:.2f} | {_escape(r['disposition'])} | {_escape(r['evidence'])} |" for r in rows)] if rows else ["None were needed."]
+    return "\n".join(text).rstrip() + "\n"
+
+
+def annotations(answer: object, allowed: set[str]) -> dict[str, tuple[str, list[str]]]:
+    """(why, research) for each finding that an answer {"annotations": [...]} may speak of: known ids only, the first of each, texts cut at 2000 and 500, five suggestions."""
+    items = answer.get("annotations") if isinstance(answer, dict) else None
+    if not isinstance(items, list):
+        raise ValueError("annotations must be a list")
+    out: dict[str, tuple[str, list[str]]] = {}
+    for item in items[:ASKED]:
+        if not isinstance(item, dict) or not isinstance(item.get("research_suggestions", []), list):
+            raise ValueError("an annotation must be an object with a list of suggestions")
+        key = str(item.get("finding_id", ""))
+        if key in allowed and key not in out:
+            out[key] = (str(item.get("why_this_matters", ""))[:2000].strip(), [str(s)[:500].strip() for s in item.get("research_suggestions", [])[:5] if str(s).strip()])
+    return out
+
+
+def annotate(findings: DataFrame, ancestors: DataFrame, resolver) -> dict[str, tuple[str, list[str]]]:  # noqa: ANN001
+    """What a resolver says of the first findings; it gets only those rows, and can neither change nor drop a finding."""
+    rows = [r.asDict(True) for r in ranked_findings(findings, ancestors, ASKED).collect()]
+    return annotations(resolver(rows), {r["finding_id"] for r in rows}) if rows else {}
+
+
+def parse_diagnostic(source: str, error: BaseException) -> str:
+    """A Markdown report on a file that could not be read: where, why, and that nothing was written."""
+    text = str(error)
+    line = re.search(r"(?:line|level)\s+(\d+)", text, re.I)
+    rows = (f"- File: `{_escape(source)}`", f"- Line: {line[1] if line else 'unknown'}", f"- Fault: {_escape(text)}", "- What to do: mend the line, check the file and run again.")
+    return "\n".join(["# Diagnostic report", "", "The file was refused before anything was written.", "", *rows]) + "\n"

@@ -82,19 +82,102 @@ def slices_diff(old: DataFrame, new: DataFrame, key: list[str]) -> tuple[DataFra
     return missing(new.select(*key).distinct(), old, key), missing(old.select(*key).distinct(), new, key)
 
 
-def reconcile_blocks(state: DataFrame, incoming: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """(person, hash, first_generation, last_generation, observations): blocks of state and snapshot united by hash.
+def carry_blocks(state: DataFrame, incoming: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """(person, hash, first_generation, last_generation, observations): the state after a snapshot, both with these columns.
 
-    state has person, hash, generation; incoming too. Incoming blocks with a tombstone on their hash are dropped, those
-    of the state stay. Equal blocks keep their first generation.
+    Incoming blocks with a tombstone on their hash are dropped, those of the state stay. Blocks of both keep their first
+    generation and add up their observations.
     """
     alive = incoming.join(tombstones.select("hash").distinct(), "hash", "left_anti")
-    return (
-        state.select("person", "hash", "generation")
-        .unionByName(alive.select("person", "hash", "generation"))
-        .groupBy("person", "hash")
-        .agg(F.min("generation").alias("first_generation"), F.max("generation").alias("last_generation"), F.count("*").alias("observations"))
-    )
+    columns = ["person", "hash", "first_generation", "last_generation", "observations"]
+    both = state.select(*columns).unionByName(alive.select(*columns)).groupBy("person", "hash")
+    return both.agg(F.min("first_generation").alias("first_generation"), F.max("last_generation").alias("last_generation"), F.sum("observations").alias("observations"))
+
+
+def observed(blocks: DataFrame) -> DataFrame:
+    """Blocks (person, hash, generation) in the form of a state."""
+    g = F.col("generation")
+    return blocks.groupBy("person", "hash").agg(F.min(g).alias("first_generation"), F.max(g).alias("last_generation"), F.count("*").alias("observations"))
+
+
+def reconcile_blocks(state: DataFrame, incoming: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """As carry_blocks, of blocks (person, hash, generation)."""
+    return carry_blocks(observed(state), observed(incoming), tombstones)
+
+
+def running(rows: DataFrame, order: list[str], flag: Column, out: str) -> DataFrame:
+    """Adds the running sum of a number over a total order of all rows, without gathering them in one task."""
+    part = settle(rows.withColumn("__flag", flag.cast("long")).withColumn("__key", F.struct(*order)).repartitionByRange("__key").withColumn("__part", F.spark_partition_id()))
+    sums = part.groupBy("__part").agg(F.sum("__flag").alias("n"), F.min("__key").alias("least"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
+    inside = F.sum("__flag").over(Window.partitionBy("__part").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0))
+    # one row per partition
+    return part.withColumn("__sum", inside).join(F.broadcast(before), "__part").withColumn(out, F.col("__sum") + F.col("__before")).drop("__flag", "__key", "__part", "__sum", "__before")
+
+
+def latest_versions(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of the highest version of each key; of equal ones any. Tasks keep their own best before the shuffle."""
+    return rows.where(F.col(version).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), version).alias("__r")).select(key, "__r.*").select(*rows.columns)
+
+
+def next_number(rows: DataFrame, key: str, number: str, out: str) -> DataFrame:
+    """(key, out): the number after the highest of each key."""
+    return rows.groupBy(key).agg((F.max(number) + 1).alias(out))
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each group in the order; tasks drop all but their own first before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
+def multiplicity(rows: DataFrame, keys: list[str], origin: str, out: str = "n") -> DataFrame:
+    """(keys, out): the largest number of times that one origin has each key."""
+    return rows.groupBy(*keys, origin).agg(F.count("*").alias("__c")).groupBy(*keys).agg(F.max("__c").alias(out))
+
+
+def alternatives(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, alternatives): keys under which more than one filled value stands, with their number."""
+    return rows.where(F.trim(value) != "").groupBy(key).agg(F.countDistinct(value).alias("alternatives")).where("alternatives > 1")
+
+
+def inconsistent(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, out): groups whose rows do not all have one value, with the number of their values."""
+    return rows.groupBy(*keys).agg(F.countDistinct(value).alias(out)).where(F.col(out) > 1)
+
+
+def multimap(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): the different values of each key, in order."""
+    return rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value).distinct().groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def losses(counted: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """(table_name, n_rows, lost): how many rows of each table have no part in what was written; only tables that lose any.
+
+    counted has a name, the table and what was written of it.
+    """
+    out = None
+    for name, rows, written in counted:
+        a, b = rows.agg(F.count("*").alias("n_rows")), written.agg(F.count("*").alias("kept"))
+        one = a.join(F.broadcast(b), F.lit(True)).select(F.lit(name).alias("table_name"), "n_rows", (F.col("n_rows") - F.col("kept")).alias("lost")).where("lost > 0")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def group_refs(rows: DataFrame, key: str, refs: str) -> DataFrame:
+    """(key, refs, n_refs): the different refs of all rows of a key, in order, as one text. Refs are made one before they meet."""
+    return rows.select(key, F.explode(refs).alias("r")).where("r is not null").distinct().groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("r")), ",").alias("refs"), F.count("*").alias("n_refs"))
+
+
+def text_groups(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """(text_key, n, first): texts that more than one row has, by their hash; counts are combined before the shuffle."""
+    return rows.where(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("text_key")).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
+
+
+def interrupted(log: DataFrame, key: str, active: list[str]) -> DataFrame:
+    """(key, sequence, state, error): what a restart adds to a log (key, sequence, state): a failure after each job whose last event is an active state."""
+    last = log.groupBy(key).agg(F.max(F.struct("sequence", "state")).alias("last"))
+    return last.where(F.col("last.state").isin(*active)).select(key, (F.col("last.sequence") + 1).alias("sequence"), F.lit("failed").alias("state"), F.lit("JOB_INTERRUPTED").alias("error"))
 
 
 def event_log(events: DataFrame, key: str, order: list[str], payload: list[str], terminal: Column) -> DataFrame:

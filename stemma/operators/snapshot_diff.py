@@ -43,14 +43,20 @@ def transitions(manifests: DataFrame) -> DataFrame:
     )
 
 
+def _escaped(text: Column) -> Column:
+    """Text without the bytes that part fields and attributes; different texts stay different."""
+    out = F.replace(text, F.lit("\x03"), F.lit("\x03c"))
+    return F.replace(F.replace(out, F.lit("\x01"), F.lit("\x03a")), F.lit("\x02"), F.lit("\x03b"))
+
+
 def _cells(records: DataFrame) -> DataFrame:
     """One row per record: snapshot_id, uid and a 64-bit hash of each canonical field.
 
     Attributes are an unordered list of texts; null, blank and empty are alike. The five texts go through one
     Arrow call, joined by a separator, because Unicode composition has no JVM expression.
     """
-    attributes = F.array_join(F.coalesce(F.col("attributes"), F.array().cast("array<string>")), "\x02")
-    joined = canonical_text(F.concat_ws("\x01", *(F.coalesce(F.col(f), F.lit("")) for f in FIELDS[:-1]), attributes))
+    attributes = F.array_join(F.transform(F.coalesce(F.col("attributes"), F.array().cast("array<string>")), _escaped), "\x02")
+    joined = canonical_text(F.concat_ws("\x01", *(_escaped(F.coalesce(F.col(f), F.lit(""))) for f in FIELDS[:-1]), attributes))
     parts = records.select("snapshot_id", "uid", F.split(joined, "\x01").alias("p"))
     hashes: list[Column] = [F.xxhash64(F.get("p", F.lit(i))).alias(f"h{i}") for i in range(len(FIELDS) - 1)]
     listed = F.array_sort(F.filter(F.split(F.coalesce(F.get("p", F.lit(len(FIELDS) - 1)), F.lit("")), "\x02"), lambda a: a != ""))

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import math
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.text import fold, squash
+from stemma.sources import gedcom
+from stemma.sources.structure import ATTACHMENT_TAGS, CITATION_TAGS
 
-# Level-1 structures that a snapshot may take away again.
-REMOVABLE = ("BIRT", "DEAT", "CHR", "BURI", "BAPM", "CENS", "OCCU", "RESI", "EDUC", "EMIG", "IMMI", "EVEN", "NATU", "PROB", "RELI", "RETI", "TITL", "MARR", "DIV", "ENGA")
-STABLE_ID_TAGS = ("REFN", "_APID", "_FSFTID", "_MHID", "_UID")
+# Level-1 structures that a snapshot may take away again; parts of a citation that it has once.
+REMOVABLE = (*gedcom.EVENT_TAGS, *gedcom.FAMILY_EVENT_TAGS)
+SINGLE = ("DATE", "PAGE", "EVEN", "ROLE", "QUAY")
 MATCH_SCORE, RESOLVER_CONFIDENCE = 78, 0.90
 
 
@@ -81,6 +88,136 @@ def reconcile(state: DataFrame, observed: DataFrame, tombstones: DataFrame, gene
     return kept.withColumn("sources", F.when(F.size("now") > 0, F.col("now")).otherwise(F.col("before"))).drop("now", "before").select("person", "hash", "tag", "protected", "cited", "sources", "first_generation", "last_generation")
 
 
+def register(registry: DataFrame, seen: DataFrame, tombstones: DataFrame, active: DataFrame, generation: int, initialize: bool = False) -> DataFrame:
+    """(person, hash, tag, logical, protected, observations, first_seen, last_seen, fate): the registry after a generation.
+
+    registry has all of these but fate. seen has person, hash, tag, logical, cited and snapshot, null for the master's own blocks.
+    A block from a snapshot that a tombstone names, by its hash or by its place in a life, has the fate `tombstone` and is
+    not taken up; the master's own stays. A block of the master that no snapshot in force holds any more, and that is not
+    protected, is `removed` if it is of a removable kind and not cited, else `kept`. `added` is new from some snapshot, `same` the rest. The
+    first generation protects all blocks as the baseline. active (snapshot) are the snapshots in force.
+    """
+    none = F.array().cast("array<string>")
+    keys = ["person", "hash"]
+    dead = seen.join(tombstones.select(*keys).distinct(), keys, "left_semi").select(*keys).unionAll(seen.join(tombstones.where("logical is not null").select("person", "logical").distinct(), ["person", "logical"], "left_semi").select(*keys)).distinct()
+    now = seen.groupBy(*keys).agg(
+        F.min("tag").alias("now_tag"), F.min("logical").alias("now_logical"), F.max(F.col("snapshot").isNull()).alias("own"), F.array_sort(F.collect_set("snapshot")).alias("snaps"), F.max("cited").alias("cited")
+    ).join(dead.withColumn("dead", F.lit(True)), keys, "left")
+    now = now.withColumn("snaps", F.when(F.col("dead"), none).otherwise(F.col("snaps")))
+    both = registry.join(now, keys, "full")
+    guard = F.when(F.lit(initialize) & F.coalesce("own", F.lit(False)), F.array(F.lit("baseline"))).otherwise(none)
+    out = both.select(
+        *keys, F.coalesce("tag", "now_tag").alias("tag"), F.coalesce("logical", "now_logical").alias("logical"), F.array_union(F.coalesce("protected", none), guard).alias("protected"),
+        F.array_sort(F.array_union(F.coalesce("observations", none), F.coalesce("snaps", none))).alias("observations"), F.coalesce("first_seen", F.lit(generation)).alias("first_seen"),
+        F.when(F.col("own").isNotNull(), generation).otherwise(F.col("last_seen")).alias("last_seen"), F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("dead", F.lit(False)).alias("dead"),
+        F.coalesce("cited", F.lit(False)).alias("cited"), (F.size(F.array_except(F.coalesce("snaps", none), F.coalesce("observations", none))) > 0).alias("new"),
+    )
+    held = out.select(*keys, F.explode("observations").alias("snapshot")).join(active.select("snapshot").distinct(), "snapshot", "left_semi").select(*keys).distinct().withColumn("held", F.lit(True))
+    out = out.join(held, keys, "left")
+    in_force = F.coalesce("held", F.lit(False))
+    absent = F.col("own") & ~in_force & (F.size("protected") == 0)
+    fate = F.when(F.col("dead") & ~F.col("own"), "tombstone").when(absent & F.col("tag").isin(*REMOVABLE) & ~F.col("cited"), "removed").when(absent, "kept").when(F.col("new"), "added").otherwise("same")
+    return out.select(*keys, "tag", "logical", "protected", "observations", "first_seen", "last_seen", fate.alias("fate"))
+
+
+def agreed(verdict: dict | None) -> bool:
+    """Whether a resolver says that two people are one, with a finite confidence of at least RESOLVER_CONFIDENCE; whatever else it says is no."""
+    v = verdict or {}
+    c = v.get("confidence")
+    return v.get("same") is True and isinstance(c, (int, float)) and not isinstance(c, bool) and math.isfinite(c) and RESOLVER_CONFIDENCE <= c <= 1
+
+
+def _plain(text: str | None) -> str:
+    return " ".join(unicodedata.normalize("NFC", text or "").split())
+
+
+def _parts(lines: list[dict]) -> tuple[list[dict], list[list[dict]]]:
+    """The lines of a block without its notes, media and citations, and these, each with its lines."""
+    core, attached, into = [lines[0]], [], None
+    for line in lines[1:]:
+        if line["level"] == 2:
+            into = [] if line["tag"] in ATTACHMENT_TAGS else None
+            if into is not None:
+                attached.append(into)
+        (core if into is None else into).append(line)
+    return core, attached
+
+
+def _content(lines: list[dict]) -> tuple:
+    return tuple((x["level"], x["tag"], _plain(x["text"])) for x in lines)
+
+
+def _identity(lines: list[dict]) -> tuple:
+    """Source, page, event and role of a citation: what it cites."""
+    first = {t: next((_plain(x["text"]) for x in lines[1:] if x["tag"] == t), "") for t in CITATION_TAGS}
+    return (_plain(lines[0]["text"]), *first.values())
+
+
+def _below(lines: list[dict]) -> list[list[dict]]:
+    """The structures directly below a citation."""
+    at = [i for i, x in enumerate(lines) if x["level"] == 3]
+    return [lines[i:j] for i, j in zip(at, [*at[1:], len(lines)], strict=True)]
+
+
+def _united(a: list[dict], b: list[dict]) -> list[dict] | None:
+    """Two citations of one identity as one with the parts of both, None where a single part contradicts."""
+    said = lambda c, t: {_plain(x["text"]) for x in c[1:] if x["tag"] == t}
+    if any(said(a, t) and said(b, t) and said(a, t) != said(b, t) for t in SINGLE):
+        return None
+    out = list(a)
+    have = {_content(p) for p in _below(a)}
+    single = {p[0]["tag"] for p in _below(a)} & {*SINGLE, "DATA"}
+    for p in _below(b):
+        if _content(p) in have:
+            continue
+        if p[0]["tag"] not in single:
+            out += p
+        elif p[0]["tag"] == "DATA":
+            at = next(i for i, x in enumerate(out) if x["level"] == 3 and x["tag"] == "DATA") + 1
+            mine = {_content([x]) for x in out[at:]}
+            out[at:at] = [x for x in p[1:] if _content([x]) not in mine]
+        have.add(_content(p))
+    return out
+
+
+def unite_block(part: pd.DataFrame) -> pd.DataFrame:
+    """One row of the blocks of one person and key: the first file's fact with the notes, media and citations of all.
+
+    The n-th citation that a file has of one identity is united with the n-th there is, unless they contradict; so no citation
+    is repeated because several files have it, and none is lost that one file has twice.
+    """
+    rows = part.sort_values(["ord", "rec", "block"]).to_dict("records")
+    core, slots, attached, repeated = None, [], 0, 0
+    for row in rows:
+        mine, more = _parts(json.loads(row["lines"]))
+        core, met = core or mine, {}
+        first = row is rows[0]
+        for a in more:
+            cites = a[0]["tag"] == "SOUR"
+            what = _identity(a) if cites else _content(a)
+            n = met[what] = met.get(what, 0) + 1
+            at = [i for i, (w, _) in enumerate(slots) if w == what]
+            if first or len(at) < n:
+                slots.append((what, a))
+                attached += not first and cites
+                continue
+            have = slots[at[n - 1]][1]
+            if _content(have) == _content(a):
+                repeated += cites
+            elif (both := _united(have, a)) is not None:
+                slots[at[n - 1]] = (what, both)
+                attached += 1
+            elif all(_content(slots[i][1]) != _content(a) for i in at):
+                slots.append((what, a))
+                attached += 1
+    head = rows[0]
+    lines = [*core, *(x for _, a in slots for x in a)]
+    lines = [x | {"pos": i} for i, x in enumerate(lines)]
+    cited = any(x["tag"] == "SOUR" for x in lines[1:])
+    out = {k: [head[k]] for k in ("target", "record", "key", "tag", "logical")} | {"cited": [cited], "ord": [head["ord"]], "rec": [head["rec"]], "block": [head["block"]]}
+    return pd.DataFrame(out | {"lines": [json.dumps(lines, ensure_ascii=False)], "attached": [int(attached)], "repeated": [int(repeated)]})
+
+
 def rebase(state: DataFrame, edited: DataFrame, accept_deletions: bool, generation: int) -> tuple[DataFrame, DataFrame]:
     """(state, tombstones) after a master was edited by hand: added blocks are protected, deleted ones become tombstones.
 

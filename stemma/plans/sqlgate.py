@@ -71,8 +71,8 @@ def _plans(expression) -> list:  # noqa: ANN001
     return out
 
 
-def admit(spark: SparkSession, sql: str, tables: set[str]) -> None:
-    """Raises SqlRejected unless the text parses to one SELECT or set operation over `tables` and its own CTEs.
+def admit(spark: SparkSession, sql: str, tables: set[str]) -> set[str]:
+    """The tables that the text names, in lower case. Raises SqlRejected unless the text parses to one SELECT or set operation over `tables` and its own CTEs.
 
     Spark's parser reads the text; anything but reading nodes is refused, so are table functions and files as tables.
     Unlike in the engine that is re-expressed here, CTEs are allowed.
@@ -96,31 +96,27 @@ def admit(spark: SparkSession, sql: str, tables: set[str]) -> None:
         raise SqlRejected(f"SQL_TABLE_DENIED: {sorted(unknown)}")
     if re.search(r"\b(java_method|reflect|try_reflect|input_file_name|read_files|secret)\s*\(", sql, re.I):
         raise SqlRejected("SQL_FUNCTION_DENIED")
+    return used
 
 
 def run(spark: SparkSession, d: str, sql: str) -> DataFrame:
-    """The whole result of an admitted statement over the parquet tables of a directory, without a cap."""
-    names = {m.lower() for m in re.findall(r"\b(?:from|join)\s+([a-z_]+)", sql, re.I)}
+    """The whole result of an admitted statement over the parquet tables of a directory, without a cap.
+
+    The statement runs as it is, in a session of its own in which the tables it names are views; so texts in it stay as they
+    are, and neither sessions nor directories meet.
+    """
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(d)
     known = {s.getPath().getName().removesuffix(".parquet") for s in path.getFileSystem(conf).listStatus(path)}
-    admit(spark, sql, known)
-    # views under names of their own, so that neither sessions nor directories meet
-    views = {n: f"gate_{uuid.uuid4().hex}" for n in names & known}
-    for n, v in views.items():
-        table(spark, d, n).createOrReplaceTempView(v)
-    text = re.sub(r"\b(from|join)\s+([a-z_]+)", lambda m: f"{m[1]} {views[m[2].lower()]} {m[2]}" if m[2].lower() in views and not _aliased(sql, m) else f"{m[1]} {views.get(m[2].lower(), m[2])}", sql, flags=re.I)
-    out = spark.sql(text)
-    for v in views.values():
-        spark.catalog.dropTempView(v)
-    return out
-
-
-_NOT_ALIAS = "where|on|join|left|right|full|inner|cross|group|order|having|union|intersect|except|limit|using|natural|semi|anti"
-
-
-def _aliased(sql: str, m: re.Match) -> bool:
-    return bool(re.match(rf"\s+(?:as\s+)?(?!(?:{_NOT_ALIAS})\b)[a-z_]\w*", sql[m.end() :], re.I))
+    used = admit(spark, sql, known)
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+        if (value := spark.conf.get(key, None)) is not None:
+            own.conf.set(key, value)
+    for n in known:
+        if n.lower() in used:
+            table(own, d, n).createOrReplaceTempView(n)
+    return own.sql(sql)
 
 
 def capped(spark: SparkSession, d: str, sql: str, cap: int = MAX_ROWS) -> Result:

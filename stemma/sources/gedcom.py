@@ -7,6 +7,8 @@ A file is one row while it is cut into lines; the format bounds it at 512 MiB.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,11 +51,55 @@ def _decoded(contents: pd.Series) -> pd.Series:
     return contents.map(decode)
 
 
-def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source, ord, text): one row per file, in the order of `paths`."""
-    files = spark.read.format("binaryFile").load(paths).where(F.col("length") <= MAX_BYTES)
-    order = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths, 1)], "source string, ord int")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), _decoded("content").alias("text")).join(F.broadcast(order), "source").select("source", "ord", "text")
+@dataclass(frozen=True)
+class Budget:
+    """What a file may hold; more is an error, never left out in silence."""
+
+    file_bytes: int = MAX_BYTES
+    records: int = 5_000_000
+    record_bytes: int = 16 * 1024 * 1024
+    line_bytes: int = 1024 * 1024
+
+
+def source_name(paths: list[str], i: int) -> str:
+    """The name of the i-th file (from 1): its base name, with its number before it where several files share one."""
+    base = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
+    return base[i - 1] if base.count(base[i - 1]) == 1 else f"{i}/{base[i - 1]}"
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source, ord, path, length, modificationTime, content): one row per file, in the order of `paths`; a path that is missing or given twice is an error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    full = [hadoop(p).getFileSystem(conf).makeQualified(hadoop(p)).toString() for p in paths]
+    if len(set(full)) < len(full):
+        raise GedcomError("a file is given twice")
+    order = spark.createDataFrame([(p, source_name(paths, i), i) for i, p in enumerate(full, 1)], "__path string, source string, ord int")
+    files = spark.read.format("binaryFile").load(full).withColumn("__path", F.regexp_replace("path", "^([a-z]+):/+", "$1:/"))
+    # one row per file
+    order = order.withColumn("__path", F.regexp_replace("__path", "^([a-z]+):/+", "$1:/"))
+    return files.join(F.broadcast(order), "__path").select("source", "ord", "path", "length", "modificationTime", "content")
+
+
+def read_texts(spark: SparkSession, paths: list[str], budget: Budget = Budget()) -> DataFrame:
+    """(source, ord, text): one row per file, in the order of `paths`. Files beyond the budget are an error."""
+    files = read_files(spark, paths)
+    big = files.where(F.col("length") > budget.file_bytes).select("source", "length").limit(5).collect()
+    if big:
+        raise GedcomError("; ".join(f"{r['source']} has {r['length']} bytes, {budget.file_bytes} are allowed" for r in big))
+    return files.select("source", "ord", _decoded("content").alias("text"))
+
+
+def over_budget(ls: DataFrame, budget: Budget = Budget()) -> DataFrame:
+    """(source, rec, what, value): files with too many records, and records or lines with too many bytes."""
+    w = F.octet_length("raw")
+    recs = ls.groupBy("source", "rec").agg(F.sum(w + 1).alias("bytes"), F.max(w).alias("longest"))
+    wide = recs.select("source", "rec", F.explode(F.array_compact(F.array(
+        F.when(F.col("bytes") > budget.record_bytes, F.struct(F.lit("record bytes").alias("what"), F.col("bytes").cast("long").alias("value"))),
+        F.when(F.col("longest") > budget.line_bytes, F.struct(F.lit("line bytes").alias("what"), F.col("longest").cast("long").alias("value"))),
+    ))).alias("o")).select("source", "rec", "o.*")
+    many = recs.groupBy("source").agg(F.count("*").alias("value")).where(F.col("value") > budget.records).select("source", F.lit(None).cast("long").alias("rec"), F.lit("records").alias("what"), "value")
+    return wide.unionByName(many)
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -120,9 +166,11 @@ def global_pointers(ls: DataFrame) -> DataFrame:
     clash = marked.where("k > 1").withColumn("prefix", prefix)
     number = F.row_number().over(Window.partitionBy("source", "prefix").orderBy("dangling", "pos", "pointer"))
     renamed = clash.withColumn("global", F.concat(F.lit("@"), "prefix", number.cast("string"), F.lit("@")))
-    # a name made here may be in use already; then it gets the number of letters more that makes it new
-    taken = every.select(F.col("pointer").alias("global")).distinct().withColumn("taken", F.lit(True))
-    safe = renamed.join(taken, "global", "left").withColumn("global", F.when(F.col("taken"), F.concat(F.expr("left(global, length(global) - 1)"), F.lit("_x@"))).otherwise(F.col("global")))
+    # a name made here may be in use already; it gets as many letters x as make it longer than any name in use that begins so
+    stem = F.regexp_replace("pointer", r"(_x+)?@$", "")
+    taken = every.select(stem.alias("stem"), F.length(F.regexp_extract("pointer", r"_(x+)@$", 1)).alias("x")).groupBy("stem").agg(F.max("x").alias("x"))
+    free = renamed.withColumn("stem", F.expr("left(global, length(global) - 1)")).join(taken, "stem", "left")
+    safe = free.withColumn("global", F.when(F.col("x").isNull(), F.col("global")).otherwise(F.concat("stem", F.lit("_"), F.expr("repeat('x', x + 1)"), F.lit("@"))))
     return marked.where("k = 1").select("source", "pointer", F.col("pointer").alias("global")).unionByName(safe.select("source", "pointer", "global"))
 
 
@@ -243,4 +291,7 @@ def parent_edges(fam: DataFrame) -> DataFrame:
 def load(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The lines of several files with pointers that do not clash."""
     ls = strict(lines(read_texts(spark, paths)))
+    found = over_budget(ls).limit(5).collect()
+    if found:
+        raise GedcomError("; ".join(f"{r['source']}, record {r['rec']}: {r['value']} {r['what']}" for r in found))
     return renamed(ls, global_pointers(ls))

@@ -54,17 +54,27 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 m
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
 
 
-def apply_snapshots(batches: DataFrame, state_path: str, checkpoint: str):  # noqa: ANN201
-    """Writes each micro-batch of (person, hash, generation) as a generation of its own, united with the state before it.
+def _generations(spark, state_path: str) -> list[int]:  # noqa: ANN001
+    path = spark._jvm.org.apache.hadoop.fs.Path(state_path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = (s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else ()
+    return sorted(int(n.removeprefix("generation=")) for n in names if n.startswith("generation="))
 
-    A batch that is run again after a failure overwrites its own folder only, so the result is the same.
+
+def apply_snapshots(batches: DataFrame, state_path: str, checkpoint: str, tombstones: DataFrame | None = None):  # noqa: ANN201
+    """Writes each micro-batch of (person, hash, generation) as a state of its own, united with the newest state before it.
+
+    The state is that of relations.carry_blocks. A batch that is run again after a failure starts from the same state and overwrites
+    its own folder only, so the result is the same. Tombstones (hash) keep blocks from coming back.
     """
-    from stemma.operators.relations import reconcile_blocks
+    from stemma.operators.relations import carry_blocks, observed
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         none = spark.createDataFrame([], "hash string")
-        old = spark.read.parquet(f"{state_path}/generation={number - 1}").select("person", "hash", F.col("first_generation").alias("generation")) if number else batch.limit(0)
-        reconcile_blocks(old, batch, none).write.mode("overwrite").parquet(f"{state_path}/generation={number}")
+        new = observed(batch)
+        before = [g for g in _generations(spark, state_path) if g < number]
+        old = spark.read.parquet(f"{state_path}/generation={before[-1]}") if before else new.limit(0)
+        carry_blocks(old, new, none if tombstones is None else tombstones).write.mode("overwrite").parquet(f"{state_path}/generation={number}")
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
