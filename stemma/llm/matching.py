@@ -74,8 +74,11 @@ def read_sources(persons: list[DataFrame], reader: PlaceReader, evidence: DataFr
     read = settle(read_names(union(p.select(F.lit(i).alias("side"), *columns) for i, p in enumerate(persons))))
     towns = settle(read_towns(read.select("birth_place").where(F.trim("birth_place") != "").distinct(), reader))
     classes = given_classes(read.select("first", "middle"), union(p.select("full_name", "alternate_names") for p in [*persons, *([] if evidence is None else [evidence])]))
+    # equal dates, too; those without one share the empty text
+    read_date = F.coalesce("birth_date", F.lit("")).alias("__date")
+    d = settle(with_dates(read.select(read_date).distinct(), {"__date": "d"}))
     placed = with_roots(read, classes, ["first", "middle"]).join(towns, "birth_place", "left").drop("birth_place").fillna("", ["town", "county", "country"])
-    return with_dates(placed, {"birth_date": "d"}).drop("birth_date")
+    return placed.withColumn("__date", read_date).join(d, "__date").drop("__date", "birth_date")
 
 
 def read_persons(persons: list[DataFrame], reader: PlaceReader, evidence: DataFrame | None = None) -> list[DataFrame]:
@@ -96,8 +99,13 @@ def _skeleton(surname: Column) -> Column:
     return F.substring(F.concat(F.substring(surname, 1, 1), F.regexp_replace(F.substring(surname, 2, 99), "[aeiouh]", "")), 1, 6)
 
 
+def finer_part(p: DataFrame) -> DataFrame:
+    """(rep, finer), hashed: further parts of each person, by which hot blocks are cut."""
+    return p.select("rep", F.xxhash64("first", F.substring("surname", 1, 3), "d.y", F.substring("town", 1, 4)).alias("finer"))
+
+
 def block_keys(p: DataFrame, *keep: str) -> DataFrame:
-    """(rep, key, finer), hashed: the blocks of each person: by date, by surname and initial, by given name, town and year.
+    """(rep, key), hashed: the blocks of each person: by date, by surname and initial, by given name, town and year.
 
     Two keys of one hash only bring more pairs.
     """
@@ -115,30 +123,33 @@ def block_keys(p: DataFrame, *keep: str) -> DataFrame:
     foot = F.when(home, F.concat_ws("|", F.lit("f"), F.expr("right(surname, 4)"), "first", F.expr("right(town, 5)"), F.substring("town", 1, 1)))
     front = F.when((F.length("surname") > 4) & whole, F.concat_ws("|", F.lit("s"), F.substring("surname", 1, 5), "first"))
     keys = F.array_compact(F.concat(F.array(day, month, lived, tail, head, foot, front), names))
-    finer = F.concat_ws("|", "first", F.substring("surname", 1, 3), "d.y", F.substring("town", 1, 4))
-    return p.select(*keep, "rep", F.xxhash64(finer).alias("finer"), F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key"))
+    return p.select(*keep, "rep", F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key"))
 
 
-def hot_blocks(ka: DataFrame, kb: DataFrame) -> DataFrame:
-    """(key, na, nb) of the blocks with more than BLOCK_PAIRS pairs."""
-    na, nb = ka.groupBy("key").agg(F.count("*").alias("na")), kb.groupBy("key").agg(F.count("*").alias("nb"))
-    return settle(na.join(nb, "key").where(F.col("na") * F.col("nb") > BLOCK_PAIRS))
+def hot_blocks(keys: DataFrame) -> DataFrame:
+    """(key, na, nb) of the blocks with more than BLOCK_PAIRS pairs, from (side, rep, key)."""
+    n = keys.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
+    return settle(n.where(F.col("na") * F.col("nb") > BLOCK_PAIRS))
 
 
 def blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The keys of either side, as of block_keys, and the hot blocks."""
-    ka, kb = settle(block_keys(a)), settle(block_keys(b))
-    return ka, kb, hot_blocks(ka, kb)
+    keys = settle(block_keys(a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))), "side"))
+    ka, kb = (keys.where(F.col("side") == i).drop("side") for i in (0, 1))
+    return ka, kb, hot_blocks(keys)
 
 
 def candidates(a: DataFrame, b: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """(l, r): pairs of persons that share a block, in a hot one with equal name, year and town; hot_rest has its other pairs."""
     ka, kb, hot = found or blocks(a, b)
+    if hot.isEmpty():
+        return ka.withColumnRenamed("rep", "l").join(kb.withColumnRenamed("rep", "r"), "key").select("l", "r").distinct()
 
-    def cut(k: DataFrame) -> DataFrame:
-        return k.join(hot.select("key", F.lit(True).alias("hot")), "key", "left").select("rep", "key", F.when(F.col("hot"), F.col("finer")).otherwise(F.lit(0)).alias("sub"))
+    def cut(p: DataFrame, k: DataFrame) -> DataFrame:
+        marked = k.join(hot.select("key", F.lit(True).alias("hot")), "key", "left").join(finer_part(p), "rep")
+        return marked.select("rep", "key", F.when(F.col("hot"), F.col("finer")).otherwise(F.lit(0)).alias("sub"))
 
-    left, right = cut(ka).withColumnRenamed("rep", "l"), cut(kb).withColumnRenamed("rep", "r")
+    left, right = cut(a, ka).withColumnRenamed("rep", "l"), cut(b, kb).withColumnRenamed("rep", "r")
     return left.join(right, ["key", "sub"]).select("l", "r").distinct()
 
 
@@ -156,7 +167,7 @@ def hot_rest(a: DataFrame, b: DataFrame, found: tuple[DataFrame, DataFrame, Data
     width = max(1, isqrt(BLOCK_PAIRS))
 
     def dealt(p: DataFrame, k: DataFrame, rep: str, own: str, other: str, person: str) -> DataFrame:
-        marked = k.join(hot.select("key", F.lit(True).alias("hot")), "key", "left")
+        marked = k.join(hot.select("key", F.lit(True).alias("hot")), "key", "left").join(finer_part(p), "rep")
         held = marked.groupBy("rep", "finer").agg(F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hots"), F.collect_set(F.when(F.col("hot").isNull(), F.col("key"))).alias("colds")).where(F.size("hots") > 0)
         whole = p.select("rep", F.struct(*(c for c in p.columns if c != "rep")).alias("who"))
         chunks = lambda side: F.ceil(F.col(f"n{side}") / width)
@@ -297,7 +308,7 @@ def fit_posteriors(vectors: DataFrame, people: DataFrame) -> DataFrame:
     x = table[names].to_numpy(dtype=np.float64) / np.array([GRID[n] for n in names])
     mix = Mixture(x, table["count"].to_numpy())
     mix.fit(ROUNDS)
-    bounded = None
+    bounded, rivals = None, None
     for _ in range(OUTER):
         table["p"] = mix.post
         known = spark.createDataFrame(table.loc[table["p"] > 0.01, [*names, "p"]].astype(dict.fromkeys(names, "int8")), T.StructType([*(T.StructField(n, T.ByteType()) for n in names), T.StructField("p", T.DoubleType())]))
@@ -305,7 +316,7 @@ def fit_posteriors(vectors: DataFrame, people: DataFrame) -> DataFrame:
         scored = settle(vectors.join(F.broadcast(known), names).select("l", "r", *names, "p"))
         if bounded is not None:
             drop_settled(bounded)
-        bounded = _transitive(scored, people, mix, names)
+        bounded, rivals = _transitive(scored, people, mix, names, rivals)
         drop_settled(scored)
         cut = bounded.groupBy(*names).agg(F.sum("confidence").alias("mass")).toPandas()
         merged = table.merge(cut, on=names, how="left")
@@ -317,10 +328,11 @@ def fit_posteriors(vectors: DataFrame, people: DataFrame) -> DataFrame:
     return bounded.select("l", "r", "confidence")
 
 
-def _transitive(scored: DataFrame, people: DataFrame, mix: Mixture, names: list[str]) -> DataFrame:
-    """Bounds each posterior by those of the best match of either side; linear in the pairs, no pairs within a group arise.
+def _transitive(scored: DataFrame, people: DataFrame, mix: Mixture, names: list[str], known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(bounded, rivals): bounds each posterior by those of the best match of either side; linear in the pairs, no pairs within a group arise.
 
-    people has the persons of both sides. The rivals of both are compared in one join.
+    people has the persons of both sides. The rivals of both are compared in one join; those known from a former round aren't
+    compared again.
     """
     best_r = scored.groupBy("l").agg(F.max_by("r", F.struct("p", "r")).alias("best_r"), F.max("p").alias("top_l"))
     best_l = scored.groupBy("r").agg(F.max_by("l", F.struct("p", "l")).alias("best_l"), F.max("p").alias("top_r"))
@@ -328,8 +340,10 @@ def _transitive(scored: DataFrame, people: DataFrame, mix: Mixture, names: list[
     pair = lambda x, y: F.when(F.col(x) != F.col(y), F.struct(F.least(x, y).alias("l"), F.greatest(x, y).alias("r")))
     rivals = met.select(F.explode(F.array_compact(F.array(pair("r", "best_r"), pair("l", "best_l")))).alias("v")).select("v.l", "v.r").distinct()
     # a record that matches both under two surnames vouches for the surnames, not for the rest
-    same = compared(rivals, people, people).withColumn("surname", F.lit(GRID["surname"]).cast("tinyint"))
-    d = settle(_posterior(same, mix, names).select(F.col("l").alias("s1"), F.col("r").alias("s2"), F.col("q")))
+    new = rivals if known is None else rivals.join(known.select("l", "r"), ["l", "r"], "left_anti")
+    new = settle(compared(new, people, people).withColumn("surname", F.lit(GRID["surname"]).cast("tinyint")))
+    known = new if known is None else known.unionByName(new)
+    d = _posterior(known, mix, names).select(F.col("l").alias("s1"), F.col("r").alias("s2"), F.col("q"))
     out = met
     for side, top in (("r", "top_l"), ("l", "top_r")):
         keyed = out.withColumn("s1", F.least(side, f"best_{side}")).withColumn("s2", F.greatest(side, f"best_{side}"))
@@ -337,8 +351,7 @@ def _transitive(scored: DataFrame, people: DataFrame, mix: Mixture, names: list[
         out = keyed.join(d, ["s1", "s2"], "left").withColumn("p", bound).drop("q", "s1", "s2")
     out = settle(out.select("l", "r", *names, F.col("p").alias("confidence")))
     drop_settled(met)
-    drop_settled(d)
-    return out
+    return out, known
 
 
 def _posterior(vectors: DataFrame, mix: Mixture, names: list[str]) -> DataFrame:
@@ -371,7 +384,7 @@ def match(left: DataFrame, right: DataFrame, places: DataFrame, least: float = S
     ka, kb = (keys.where(F.col("side") == i).drop("side") for i in (0, 1))
     a, b = (p.drop("side") for p in sides)
     of_a, of_b = (read.where(F.col("side") == i).select("rep", "id") for i in (0, 1))
-    vectors = settle(all_vectors(a, b, (ka, kb, hot_blocks(ka, kb))))
+    vectors = settle(all_vectors(a, b, (ka, kb, hot_blocks(keys))))
     found = fit_posteriors(vectors, people.drop("side")).where(F.col("confidence") >= least)
     x, y = of_a.select(F.col("rep").alias("l"), F.col("id").alias("left_id")), of_b.select(F.col("rep").alias("r"), F.col("id").alias("right_id"))
     return found.join(x, "l").join(y, "r").select("left_id", "right_id", "confidence")
