@@ -105,15 +105,19 @@ def components(edges: DataFrame) -> DataFrame:
 def canonical_pointers(merged: DataFrame) -> DataFrame:
     """(pointer, canonical): follows a merge map (pointer, target) to its end, however long; loops end at their smallest member.
 
-    A pointer has one target; of several the smallest counts. Pointers that end at themselves have no row.
+    A pointer has one target; of several the smallest counts. Pointers that end at themselves have no row. Each round doubles the
+    steps; after as many steps as there are pointers, whoever has not come to an end is on a loop.
     """
-    one = settle(merged.where("pointer is not null and target is not null and pointer != target").groupBy("pointer").agg(F.min("target").alias("target")))
-    loops = strong_components(one.select(F.col("pointer").alias("src"), F.col("target").alias("dst")))
-    least = loops.groupBy("component").agg(F.min("node").alias("least"))
-    ends = loops.join(least, "component").select(F.col("node").alias("pointer"), "least")
-    current = settle(one.join(ends, "pointer", "left").select("pointer", F.coalesce("least", "target").alias("canonical")).where("pointer != canonical"))
+    one = merged.where("pointer is not null and target is not null and pointer != target").groupBy("pointer").agg(F.min("target").alias("far"))
+    # the least of what was passed, the pointer included
+    current = settle(one.withColumn("least", F.col("pointer")))
+    steps, n = 1, current.count()
     while True:
-        step = settle(current.join(current.select(F.col("pointer").alias("canonical"), F.col("canonical").alias("further")), "canonical", "left").select("pointer", F.coalesce("further", "canonical").alias("canonical"), F.col("further").isNotNull().alias("moved")))
-        current = step.select("pointer", "canonical")
-        if step.where("moved").isEmpty():
-            return current
+        onward = current.select(F.col("pointer").alias("far"), F.col("far").alias("further"), F.col("least").alias("passed"))
+        step = settle(current.join(onward, "far", "left").select("pointer", F.coalesce("further", "far").alias("far"), F.least("least", F.coalesce("passed", "least")).alias("least"), F.col("further").isNotNull().alias("moved")))
+        current = step.drop("moved")
+        steps *= 2
+        if steps > n or step.where("moved").isEmpty():
+            break
+    looped = current.select(F.col("pointer").alias("far"), F.col("least").alias("smallest"))
+    return current.join(looped, "far", "left").select("pointer", F.coalesce("smallest", "far").alias("canonical")).where("pointer != canonical")

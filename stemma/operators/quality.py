@@ -73,10 +73,11 @@ def _row(df: DataFrame, code: str, severity: str | Column, people: Column | None
     )
 
 
-def tree_findings(ls: DataFrame, as_of_year: int, root: str | None = None) -> DataFrame:
+def tree_findings(ls: DataFrame, as_of_year: int, root: str | None = None, duplicates: bool = True) -> DataFrame:
     """(code, severity, people, families, evidence, source, finding_id): every rule over the lines of parsed files.
 
-    as_of_year stands for the present. root is the pointer of the person whose ancestors come first in reports.
+    as_of_year stands for the present. root is the pointer of the person whose ancestors come first in reports. Without
+    duplicates the search for possible duplicates, the costliest rule, is left out.
     """
     # every rule reads these; written once, none is parsed again
     ls = settle(ls)
@@ -136,7 +137,9 @@ def tree_findings(ls: DataFrame, as_of_year: int, root: str | None = None) -> Da
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)
-    every = every.withColumn("sources", F.array("source")).unionByName(_duplicates(ls))
+    every = every.withColumn("sources", F.array("source"))
+    if duplicates:
+        every = every.unionByName(_duplicates(ls))
     return every.withColumn("finding_id", finding_id("code", "people", "families", "evidence", "sources")).drop("sources")
 
 

@@ -53,13 +53,6 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return changes.select("prev_snapshot_id", "snapshot_id", "uid", "change_kind")
 
 
-@query(None)
-def p5_changed_fields(spark: SparkSession, d: str) -> DataFrame:
-    """How often each set of fields changed; the sums that name the fields are tested on a small fixture."""
-    changes = snapshot_changes(table(spark, d, "snapshot_records"), transitions(table(spark, d, "sync_manifests")))
-    return changes.groupBy("change_kind", F.array_join("changed_fields", ",").alias("fields")).agg(F.count("*").alias("n"))
-
-
 @query("""
 with f as (select distinct tree_id, generation, unnest(map_entries(active_snapshots)) e from sync_manifests),
 g as (select tree_id, generation, e.key source_id, e.value sid from f)
@@ -69,13 +62,6 @@ def snapshot_transitions(spark: SparkSession, d: str) -> DataFrame:
     return transitions(table(spark, d, "sync_manifests")).withColumn("generation", F.col("generation").cast("long"))
 
 
-@query("""
-select s.source_id, s.tree_id, count(distinct vendor) vendors from snapshots s group by all having count(distinct vendor) > 1""")
-def continuity_breaks(spark: SparkSession, d: str) -> DataFrame:
-    """Sources of a tree whose vendor is not the same in every snapshot."""
-    return table(spark, d, "snapshots").groupBy("source_id", "tree_id").agg(F.countDistinct("vendor").alias("vendors")).where("vendors > 1")
-
-
 @query("""
 with l as (select distinct snapshot_id from snapshots), f as (select distinct unnest(map_values(active_snapshots)) snapshot_id from sync_manifests)
 select snapshot_id from l where snapshot_id not in (select snapshot_id from f)""")
@@ -238,15 +224,6 @@ def date_normalize(spark: SparkSession, d: str) -> DataFrame:
     return with_dates(table(spark, d, "individuals").select("individual_id", "birth_date"), {"birth_date": "d"}).select("individual_id", "d.*")
 
 
-@query("""
-select doc_id, list_aggregate(list_filter(l, lambda x, i: x <> '' and list_position(l, x) = i), 'string_agg', chr(10)) lines from
-(select doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))) l from documents)""")
-def ocr_line_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Blanks collapsed, blank and repeated lines dropped, order kept; without letters of other scripts changed."""
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != ""))
-    return table(spark, d, "documents").select("doc_id", F.when(F.size(lines) > 0, F.array_join(lines, "\n")).alias("lines"))
-
-
 @query(None)
 def ocr_normalize(spark: SparkSession, d: str) -> DataFrame:
     from stemma.functions.ocr import normalize_ocr
@@ -262,23 +239,6 @@ def utf8_wrap(spark: SparkSession, d: str) -> DataFrame:
     return wrap_notes(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query("select doc_id, sha256(coalesce(lang, '') || chr(10) || coalesce(source, '') || chr(10) || coalesce(text, '')) block_key from documents")
-def sha_block_key(spark: SparkSession, d: str) -> DataFrame:
-    parts = [F.coalesce(c, F.lit("")) for c in ("lang", "source", "text")]
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("\n", *parts), 256).alias("block_key"))
-
-
-@query("select sha256(text) text_key, count(*) n, min(doc_id) first_doc from documents where text is not null group by 1 having count(*) > 1")
-def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("text_key"))
-    return t.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-
-
-@query("select o_orderkey, least(1.0, greatest(0.0, o_totalprice / 500000)) confidence from orders where o_totalprice is not null")
-def confidence_clamp(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_totalprice is not null").select("o_orderkey", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("o_totalprice") / 500000)).alias("confidence"))
-
-
 # ---------------------------------------------------------------- graph
 
 _GRAPH = "e as (select distinct 'o' || l_orderkey a, 's' || l_suppkey b from lineitem)"
@@ -379,44 +339,16 @@ def rule_union(spark: SparkSession, d: str) -> DataFrame:
     return _findings(spark, d)
 
 
-@query(f"with {_YEARS}, {_RULES} select code, severity, id from f order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end, code, id limit 25")
-def rule_union_ranked(spark: SparkSession, d: str) -> DataFrame:
-    from stemma.operators.quality import severity_rank
-
-    return _findings(spark, d).orderBy(severity_rank(F.col("severity")), "code", "id").limit(25)
-
-
 @query(f"with {_YEARS}, {_RULES} select severity, count(*) n from f group by 1")
 def severity_counts(spark: SparkSession, d: str) -> DataFrame:
     return _findings(spark, d).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("select source_ref, count(distinct birth_date) alternatives from individuals where trim(birth_date) <> '' group by 1 having count(distinct birth_date) > 1")
-def distinct_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "individuals").where("trim(birth_date) != ''").groupBy("source_ref").agg(F.countDistinct("birth_date").alias("alternatives")).where("alternatives > 1")
-
-
-@query("""
-select canonical_ref, list_aggregate(list_sort(list_distinct(flatten(list(source_refs)))), 'string_agg', ',') refs, len(list_distinct(flatten(list(source_refs)))) n_refs from identities group by 1""")
-def merge_identity_grouping(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "identities").select("canonical_ref", F.explode("source_refs").alias("r")).distinct()
-    return rows.groupBy("canonical_ref").agg(F.array_join(F.sort_array(F.collect_set("r")), ",").alias("refs"), F.count("*").alias("n_refs"))
-
-
 @query("select rule_code, count(*) records, count(distinct canonical_ref) identities from identities group by 1")
 def merge_accounting(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "identities").groupBy("rule_code").agg(F.count("*").alias("records"), F.countDistinct("canonical_ref").alias("identities"))
 
 
-@query("""
-select canonical_ref, source_ref, n from (select canonical_ref, source_ref, max(c) n from (select canonical_ref, rule_code, source_ref, count(*) c from
-(select canonical_ref, rule_code, unnest(source_refs) source_ref from identities) group by all) group by all) where n > 1""")
-def citation_multiplicity(spark: SparkSession, d: str) -> DataFrame:
-    """The largest number of times that one origin cites a ref."""
-    c = table(spark, d, "identities").select("canonical_ref", "rule_code", F.explode("source_refs").alias("source_ref")).groupBy("canonical_ref", "rule_code", "source_ref").agg(F.count("*").alias("c"))
-    return c.groupBy("canonical_ref", "source_ref").agg(F.max("c").alias("n")).where("n > 1")
-
-
 @query("""
 select p_partkey, v.v, row_number() over (order by v.r, v.num nulls first, v.t nulls first, p_partkey) position from (select p_partkey, case when p_partkey % 10 = 0 then {'r': 0, 'num': null::hugeint, 't': null, 'v': null}
  when p_partkey % 3 = 0 then {'r': 1, 'num': p_size::hugeint, 't': null, 'v': p_size::varchar} else {'r': 2, 'num': null, 't': lower(p_name), 'v': p_name} end v from part)""")
@@ -455,55 +387,30 @@ def safe_source_semi_anti(spark: SparkSession, d: str) -> DataFrame:
     return relations.safe_only(table(spark, d, "part").select("p_partkey"), uses, "p_partkey", F.col("l_discount") < 0.02)
 
 
-
-@query(" union all ".join(f"select '{t}' table_name, count(*) n_rows, count(*) - count(distinct {k}) lost from {t} having count(*) - count(distinct {k}) > 0" for t, k in (("lineitem", "l_orderkey"), ("individuals", "source_ref"), ("nametable", "ownerid"), ("documents", "repository_ref"), ("orders", "o_custkey"))))
-def loss_accounting(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that keeping one per key would lose; only tables that lose any."""
-    out = None
-    for t, k in (("lineitem", "l_orderkey"), ("individuals", "source_ref"), ("nametable", "ownerid"), ("documents", "repository_ref"), ("orders", "o_custkey")):
-        one = table(spark, d, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows"), (F.count("*") - F.countDistinct(k)).alias("lost")).where("lost > 0")
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
-@query("select placeid, count(distinct a) names from (select placeid, unnest(list_append(alternate_names, string_split(name, ',')[1])) a from placetable) group by 1 having count(distinct a) > 1")
-def place_multimap(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "placetable").select("placeid", F.explode(F.concat("alternate_names", F.array(F.element_at(F.split("name", ","), 1)))).alias("a"))
-    return names.groupBy("placeid").agg(F.countDistinct("a").alias("names")).where("names > 1")
-
-
-@query("select ownerid, nameid, full_name from (select *, row_number() over (partition by tree_file, surname order by coalesce(isprimary, 0) desc, lower(full_name), nameid) k from nametable where surname is not null) where k = 1")
-def primary_name_first(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("tree_file", "surname").orderBy(F.coalesce("isprimary", F.lit(0)).desc(), F.lower("full_name"), "nameid")
-    n = table(spark, d, "nametable").where("surname is not null").withColumn("k", F.row_number().over(w)).where("k = 1")
-    return n.select("ownerid", "nameid", "full_name")
-
-
 @query("select '@I' || row_number() over (order by c_name, c_custkey) || '@' xref, c_custkey from customer")
 def sequential_ids(spark: SparkSession, d: str) -> DataFrame:
     c = relations.ranked(table(spark, d, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"])
     return c.select(F.concat(F.lit("@I"), "rank", F.lit("@")).alias("xref"), "c_custkey")
 
 
-@query("select tree_id, max(generation) + 1 next_generation from sync_manifests group by 1")
-def next_generation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "sync_manifests").groupBy("tree_id").agg((F.max("generation") + 1).alias("next_generation"))
-
-
 # ---------------------------------------------------------------- files
 
 
 def _as_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines, records and blocks of the individuals written as GEDCOM, one text per source file."""
+    """Lines, records and blocks of the individuals written as GEDCOM, one file per source file."""
     from stemma.sources import gedcom
 
     blank = lambda c: F.coalesce(F.regexp_replace(c, r"[\r\n]", " "), F.lit(""))
-    record = F.concat(
-        F.lit("0 "), "pointer", F.lit(" INDI\n1 NAME "), blank(F.col("given_name")), F.lit(" /"), blank(F.col("surname")), F.lit("/\n1 BIRT\n2 PLAC "), blank(F.col("birth_place"))
-    )
     people = table(spark, d, "individuals").where("pointer is not null")
-    body = people.groupBy(F.col("source_file").alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("individual_id", record.alias("t")))), lambda x: x["t"]), "\n").alias("b"))
-    ls = settle(gedcom.strict(gedcom.lines(body.select("source", F.lit(1).alias("ord"), F.concat(F.lit("0 HEAD\n"), "b", F.lit("\n0 TRLR\n")).alias("text")))))
+    record = F.array(
+        F.concat(F.lit("0 "), "pointer", F.lit(" INDI")), F.concat(F.lit("1 NAME "), blank(F.col("given_name")), F.lit(" /"), blank(F.col("surname")), F.lit("/")), F.lit("1 BIRT"), F.concat(F.lit("2 PLAC "), blank(F.col("birth_place")))
+    )
+    person = people.select(F.col("source_file").alias("source"), F.lit(1).alias("section"), F.col("individual_id").alias("n"), F.posexplode(record).alias("i", "raw"))
+    files = people.select(F.col("source_file").alias("source")).distinct()
+    end = lambda section, text: files.select("source", F.lit(section).alias("section"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("i"), F.lit(text).alias("raw"))
+    # lines are placed by a sort over all files, so no file is gathered in one task
+    placed = relations.ranked(end(0, "0 HEAD").unionByName(person).unionByName(end(2, "0 TRLR")), ["source", "section", "n", "i"], "pos")
+    ls = settle(gedcom.strict(gedcom.parsed(placed.withColumn("ord", F.lit(1)))))
     return ls, gedcom.records(ls), gedcom.blocks(ls)
 
 
@@ -568,28 +475,6 @@ def retain_last_n(spark: SparkSession, d: str) -> DataFrame:
     return relations.keep_last(table(spark, d, "events").select("user_id", "event_id"), "user_id", [F.desc("event_id")], 256)
 
 
-@query(f'with {_LOG} select user_id, "sequence", event_type from s where "sequence" > 3')
-def replay_after(spark: SparkSession, d: str) -> DataFrame:
-    return _log(spark, d).where("sequence > 3").select("user_id", "sequence", "event_type")
-
-
-@query("select epoch_ms(time_bucket(interval '10 minutes', ts)) // 1000 window_start, event_type, count(*) n, round(sum(value), 2) total from events group by all")
-def tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return e.select(F.unix_timestamp("w.start").alias("window_start"), "event_type", "n", "total")
-
-
-@query("""
-select user_id, s session, count(*) n from (select user_id, sum(case when p is null or ts - p > interval '30 minutes' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) s
-from (select *, lag(ts) over (partition by user_id order by ts, event_id) p from events)) group by all""")
-def sessionize(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.when(F.lag("ts").over(w).isNull() | (F.col("ts") - F.lag("ts").over(w) > F.expr("interval 30 minutes")), 1).otherwise(0)
-    e = table(spark, d, "events").withColumn("new", new)
-    e = e.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy("user_id", "session").agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- SQL gateway: one text for both engines
 
 GATED = {

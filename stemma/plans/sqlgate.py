@@ -110,7 +110,7 @@ def run(spark: SparkSession, d: str, sql: str) -> DataFrame:
     known = {s.getPath().getName().removesuffix(".parquet") for s in path.getFileSystem(conf).listStatus(path)}
     used = admit(spark, sql, known)
     own = spark.newSession()
-    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
         if (value := spark.conf.get(key, None)) is not None:
             own.conf.set(key, value)
     for n in known:

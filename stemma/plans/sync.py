@@ -292,10 +292,7 @@ def unite_records(ls: DataFrame, names: DataFrame, counters: dict[str, int], use
         lines = rewritten(rel.join(mine, ["source", "rec"], "left_semi"), at)
         keyed = settle(_record_key(lines, tag or ""))
         group = ["key"] if tag else ["source", "rec"]
-        w = Window.partitionBy(*group).orderBy(F.col("ord") != 1, "own", "pointer")
-        # the smallest of each content stands for it; the window holds one content, and only its first row is needed
         first = keyed.groupBy(*group).agg(F.min(F.struct((F.col("ord") != 1).alias("new"), "own", "pointer")).alias("f")).select(*group, F.col("f.new").alias("new"), F.col("f.own").alias("own"), F.col("f.pointer").alias("rep"))
-        del w
         prefix = PREFIXES.get(tag, "X")
         numbers, counters = allocate(first.where("new").select(F.col("rep").alias("item"), F.lit(prefix).alias("prefix"), F.struct("own", "rep").alias("key")), used, counters)
         numbers = settle(numbers)
@@ -315,9 +312,8 @@ def united_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     content, with as many copies of each as the one file has that has most; a citation that says no other than one of the
     same source, page, event and role but more is united with it. Blocks are small; a group holds what all files say of one fact.
     """
-    out = "target string, record string, key string, tag string, logical string, cited boolean, at struct<ord: int, rec: long, block: long>, lines array<struct<pos: int, level: int, tag: string, text: string>>, attached int, repeated int"
     single = blocks.withColumn("k", F.count("*").over(Window.partitionBy("target", "key")))
-    alone = single.where("k = 1").select("target", "record", "key", "tag", "logical", "cited", F.struct(F.col("ord").cast("int"), F.col("rec").cast("long"), F.col("block").cast("long")).alias("at"), "lines", F.lit(0).alias("attached"), F.lit(0).alias("repeated"))
+    alone = single.where("k = 1").select("target", "record", "key", "tag", "logical", "cited", F.struct(F.col("ord").cast("int").alias("ord"), F.col("rec").cast("long").alias("rec"), F.col("block").cast("long").alias("block")).alias("at"), "lines", F.lit(0).alias("attached"), F.lit(0).alias("repeated"))
     many = single.where("k > 1").select("target", "record", "key", "tag", "logical", "cited", "ord", "rec", "block", F.to_json("lines").alias("lines"))
     merged = many.groupBy("target", "key").applyInPandas(sync.unite_block, "target string, record string, key string, tag string, logical string, cited boolean, ord int, rec long, block long, lines string, attached int, repeated int")
     shape = "array<struct<pos: int, level: int, tag: string, text: string>>"
@@ -329,7 +325,6 @@ def united_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(both.where("repeated > 0").select(F.lit("Repeated citations united").alias("section"), entry.alias("entry")))
         .unionByName(merged.select(F.lit("Consolidated duplicate facts").alias("section"), entry.alias("entry")))
     )
-    del out
     return both, events
 
 
@@ -488,8 +483,6 @@ def rebase(spark: SparkSession, root: str, edited: str, accept_deletions: bool =
     Tombstones of blocks that the edited master has again are dropped.
     """
     manifest, path = latest(spark, root)
-    digest = file_facts(spark, [edited])[edited][0]
-    del digest
     load = lambda t: structure.record_blocks(gedcom.strict(gedcom.lines(t))).where("record = 'INDI'")
     old_text = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/master").select(F.lit("master").alias("source"), F.lit(1).alias("ord"), F.decode("content", "UTF-8").alias("text"))
     key = ["person", "hash"]

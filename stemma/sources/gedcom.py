@@ -109,15 +109,26 @@ def lines(texts: DataFrame) -> DataFrame:
     and null parts; `strict` turns it into an error.
     """
     cut = texts.select("source", "ord", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("p", "raw")).where(F.trim("raw") != "")
+    parsed = _parts(cut.withColumn("pos", F.col("p") + 1))
+    w = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return parsed.withColumn("rec", F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(w))
+
+
+def parsed(cut: DataFrame) -> DataFrame:
+    """As lines, from a table of lines (source, ord, pos, raw) of any number, whose records are numbered over all files without gathering one in a task."""
+    from stemma.operators.relations import running
+
+    return running(_parts(cut), ["source", "pos"], F.when(F.col("level") == 0, 1).otherwise(0), "rec")
+
+
+def _parts(cut: DataFrame) -> DataFrame:
     raw = F.regexp_replace("raw", "^\ufeff", "")
     part = lambda i: F.regexp_extract(raw, LINE, i)
     bad = ~raw.rlike(LINE)
-    parsed = cut.select(
-        "source", "ord", (F.col("p") + 1).alias("pos"), F.when(~bad, part(1).cast("int")).alias("level"), F.when(~bad, part(2)).alias("xref"), F.when(~bad, F.upper(part(3))).alias("tag"),
+    return cut.select(
+        "source", "ord", "pos", F.when(~bad, part(1).cast("int")).alias("level"), F.when(~bad, part(2)).alias("xref"), F.when(~bad, F.upper(part(3))).alias("tag"),
         F.when(~bad, part(4)).alias("value"), raw.alias("raw"), bad.alias("bad"),
     )
-    w = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return parsed.withColumn("rec", F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(w))
 
 
 def strict(ls: DataFrame) -> DataFrame:

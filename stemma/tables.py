@@ -15,6 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _WRITTEN: set[str] = set()
+_LOCAL = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="stemma-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        # the setting can't be changed in a running session, so the folder is kept here
+        global _LOCAL  # noqa: PLW0603
+        where = _LOCAL = _LOCAL or "file://" + tempfile.mkdtemp(prefix="stemma-")
     return where
 
 

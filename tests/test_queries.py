@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from stemma.plans import engine_queries  # noqa: F401
 from stemma.plans.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
