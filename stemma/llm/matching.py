@@ -143,14 +143,15 @@ def candidates(a: DataFrame, b: DataFrame, found: tuple[DataFrame, DataFrame, Da
     """(l, r): pairs of persons that share a block, in a hot one with equal name, year and town; hot_rest has its other pairs."""
     ka, kb, hot = found or blocks(a, b)
     if hot.isEmpty():
-        return ka.withColumnRenamed("rep", "l").join(kb.withColumnRenamed("rep", "r"), "key").select("l", "r").distinct()
+        return ka.withColumnRenamed("rep", "l").join(kb.withColumnRenamed("rep", "r"), "key").select("l", "r").repartition("l").distinct()
 
     def cut(p: DataFrame, k: DataFrame) -> DataFrame:
         marked = k.join(hot.select("key", F.lit(True).alias("hot")), "key", "left").join(finer_part(p), "rep")
         return marked.select("rep", "key", F.when(F.col("hot"), F.col("finer")).otherwise(F.lit(0)).alias("sub"))
 
     left, right = cut(a, ka).withColumnRenamed("rep", "l"), cut(b, kb).withColumnRenamed("rep", "r")
-    return left.join(right, ["key", "sub"]).select("l", "r").distinct()
+    # dealt by l, so that persons are joined to the pairs where they lie
+    return left.join(right, ["key", "sub"]).select("l", "r").repartition("l").distinct()
 
 
 def hot_rest(a: DataFrame, b: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame | None:
@@ -337,19 +338,23 @@ def _transitive(scored: DataFrame, people: DataFrame, mix: Mixture, names: list[
     best_r = scored.groupBy("l").agg(F.max_by("r", F.struct("p", "r")).alias("best_r"), F.max("p").alias("top_l"))
     best_l = scored.groupBy("r").agg(F.max_by("l", F.struct("p", "l")).alias("best_l"), F.max("p").alias("top_r"))
     met = settle(scored.join(best_r, "l").join(best_l, "r"))
+    # a pair that is the best of both sides has no rival
+    alone = (F.col("r") == F.col("best_r")) & (F.col("l") == F.col("best_l"))
+    contested = met.where(~alone)
     pair = lambda x, y: F.when(F.col(x) != F.col(y), F.struct(F.least(x, y).alias("l"), F.greatest(x, y).alias("r")))
-    rivals = met.select(F.explode(F.array_compact(F.array(pair("r", "best_r"), pair("l", "best_l")))).alias("v")).select("v.l", "v.r").distinct()
+    rivals = contested.select(F.explode(F.array_compact(F.array(pair("r", "best_r"), pair("l", "best_l")))).alias("v")).select("v.l", "v.r").repartition("l").distinct()
     # a record that matches both under two surnames vouches for the surnames, not for the rest
     new = rivals if known is None else rivals.join(known.select("l", "r"), ["l", "r"], "left_anti")
     new = settle(compared(new, people, people).withColumn("surname", F.lit(GRID["surname"]).cast("tinyint")))
     known = new if known is None else known.unionByName(new)
     d = _posterior(known, mix, names).select(F.col("l").alias("s1"), F.col("r").alias("s2"), F.col("q"))
-    out = met
+    out = contested
     for side, top in (("r", "top_l"), ("l", "top_r")):
         keyed = out.withColumn("s1", F.least(side, f"best_{side}")).withColumn("s2", F.greatest(side, f"best_{side}"))
         bound = F.when(F.col("s1") == F.col("s2"), F.col("p")).otherwise(F.least("p", F.coalesce("q", F.lit(1.0)) / F.greatest(F.col(top), F.lit(0.01))))
         out = keyed.join(d, ["s1", "s2"], "left").withColumn("p", bound).drop("q", "s1", "s2")
-    out = settle(out.select("l", "r", *names, F.col("p").alias("confidence")))
+    columns = ["l", "r", *names, F.col("p").alias("confidence")]
+    out = settle(out.select(*columns).unionByName(met.where(alone).select(*columns)))
     drop_settled(met)
     return out, known
 
