@@ -52,13 +52,16 @@ def _date_parts(s: Column) -> Column:
     )
 
 
+def _month_of(word: Column) -> Column:
+    starts = F.create_map(*(F.lit(x) for m, words in MONTHS.items() for w in words for x in (w, m)))
+    return F.try_element_at(starts, word)
+
+
 def _date_of(p: Column) -> Column:
     q = p["qualifier"]
     about, before, after = q.rlike(ABOUT), q.rlike(BEFORE), q.rlike(AFTER)
     y1, y2 = F.get(p["years"], F.lit(0)), F.get(p["years"], F.lit(1))
-    of_word = F.lit(None).cast("int")
-    for m, starts in MONTHS.items():
-        of_word = F.when(p["word"].isin(*starts), F.lit(m)).otherwise(of_word)
+    of_word = _month_of(p["word"])
     month = F.coalesce(p["m"], of_word)
     month = F.when(month.between(1, 12), month)
     day = F.coalesce(p["d"], F.when(of_word.isNotNull(), p["any_day"]))
@@ -91,9 +94,7 @@ def with_normalized_dates(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def _standard(raw: Column, s: Column, p: Column) -> Column:
     q = p["qualifier"]
-    year, of_word = F.get(p["years"], F.lit(0)), F.lit(None).cast("int")
-    for m, starts in MONTHS.items():
-        of_word = F.when(p["word"].isin(*starts), F.lit(m)).otherwise(of_word)
+    year, of_word = F.get(p["years"], F.lit(0)), _month_of(p["word"])
     month = F.coalesce(p["m"], of_word)
     day = F.coalesce(p["d"], F.when(of_word.isNotNull(), p["any_day"]))
     word = F.when(q.rlike(r"\bcal"), "CAL").when(q == "est", "EST").when(q.rlike(ABOUT), "ABT").when(q.rlike(BEFORE), "BEF").when(q.rlike(AFTER), "AFT")

@@ -22,10 +22,8 @@ KNOWN_COUNTRIES = (
 def country(col: Column) -> Column:
     """The lower-case country, its usual name where it is written another way; null for null and blank."""
     name = F.trim(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", " "))
-    out = name
-    for alias, usual in COUNTRY_ALIASES.items():
-        out = F.when(name == alias, F.lit(usual)).otherwise(out)
-    return F.when(name != "", out)
+    usual = F.create_map(*(F.lit(x) for pair in COUNTRY_ALIASES.items() for x in pair))
+    return F.when(name != "", F.coalesce(F.try_element_at(usual, name), name))
 
 
 def country_of_place(col: Column) -> Column:

@@ -282,7 +282,8 @@ def report(findings: DataFrame, ancestors: DataFrame, top: int = 25, relations:
     relations is what parentage gives, decisions has l, r, score, disposition and evidence, notes what a resolver says of
     findings. A section shows its first SHOWN rows and says so if there are more.
     """
-    notes = notes or {}
+    # read by every section
+    findings, ancestors, notes = settle(findings), settle(ancestors), notes or {}
     counts = {r["severity"]: r["n"] for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
     text = ["# Quality report", "", "## Summary", "", "| Severity | Findings |", "|---|---|", *(f"| {s} | {counts.get(s, 0)} |" for s in SEVERITIES), "", f"## First {top} actions", "", *_table(findings, ancestors, top, notes)]
     text += ["## Direct ancestors by generation", "", "| Generation | Person | Parentage |", "|---:|---|---|"]

@@ -44,18 +44,45 @@ def merge(spark: SparkSession, paths: list[str], threshold: float = identity.MER
     wanted = scored.select(F.explode(F.array("l", "r")).alias("pointer")).distinct()
     known = {r["pointer"]: r.asDict(True) for r in people.join(wanted, "pointer", "left_semi").collect()}
     merged, decisions = identity.merge_people(found, known, resolver, limits)
-    return Merge(_rewritten(spark, ls, merged), decisions, merged)
+    return Merge(_rewritten(ls, spark.createDataFrame(list(merged.items()), "p string, canonical string")), decisions, merged)
 
 
-def _rewritten(spark: SparkSession, ls: DataFrame, merged: dict[str, str]) -> DataFrame:
-    """The lines with merged pointers replaced; the level-1 structures of merged people follow those of the survivor, once."""
-    if not merged:
+@dataclass(frozen=True)
+class MergeAll:
+    """Lines with merged pointers, and the decisions and canonical pointers as tables."""
+
+    lines: DataFrame
+    decisions: DataFrame
+    merged: DataFrame
+
+
+def merge_all(spark: SparkSession, paths: list[str], threshold: float = identity.MERGE_THRESHOLD, resolver: Callable | None = None, bucket: int = blocking.Limits.bucket) -> MergeAll:
+    """As merge, without bounds on pairs and candidates, and with nothing of them on the driver.
+
+    All pairs across files that share a key of at most `bucket` people are scored; groups of linked candidates are merged each on
+    its own. Two people whom only commoner keys join are not compared.
+    """
+    if len(paths) < 2:
+        raise ValueError("merging takes at least two files")
+    ls = settle(gedcom.load(spark, paths))
+    faults = gedcom.envelope_faults(gedcom.records(ls)).limit(20).collect()
+    if faults:
+        raise gedcom.GedcomError("; ".join(f"{f['source']}: {f['fault']}" for f in faults))
+    recs, bs = gedcom.records(ls), gedcom.blocks(ls)
+    people = settle(person.comparable(ls))
+    keyed = person.blocking_keys(settle(gedcom.persons(bs, recs)), people)
+    scored = identity.score_pairs(blocking.owner_pairs(keyed, "pointer", "source", bucket).select("l", "r"), people, threshold)
+    merged, decisions = identity.merge_groups(scored, people, resolver)
+    return MergeAll(_rewritten(ls, merged.select(F.col("pointer").alias("p"), "canonical")), decisions, merged)
+
+
+def _rewritten(ls: DataFrame, names: DataFrame) -> DataFrame:
+    """The lines with merged pointers (p, canonical) replaced; the level-1 structures of merged people follow those of the survivor, once."""
+    if names.isEmpty():
         return ls
-    names = spark.createDataFrame(list(merged.items()), "p string, canonical string")
     value = F.trim(F.col("value"))
     key = F.when(F.col("xref") != "", F.col("xref")).when(F.col("tag").isin(*gedcom.POINTER_TAGS) & value.rlike(gedcom.POINTER), value)
-    # bounded by the candidate limit
-    j = ls.withColumn("p", key).join(F.broadcast(names), "p", "left")
+    j = ls.withColumn("p", key).join(names, "p", "left")
     out = j.withColumn("xref", F.when((F.col("xref") != "") & F.col("canonical").isNotNull(), F.col("canonical")).otherwise(F.col("xref"))).withColumn(
         "value", F.when((F.col("xref") == "") & F.col("canonical").isNotNull(), F.col("canonical")).otherwise(F.col("value"))
     )
@@ -127,20 +154,41 @@ def subtree(ls: DataFrame, root: str, scope: str = "connected", most_generations
     return out.join(cut, ["source", "rec", "pos"], "left_anti")
 
 
-def quality_report(spark: SparkSession, path: str, as_of_year: int, root: str | None = None) -> str:
-    """The Markdown report of one file."""
-    ls = gedcom.strict(gedcom.lines(gedcom.read_texts(spark, [path])))
-    found = settle(quality.tree_findings(ls, as_of_year, root))
-    none = spark.createDataFrame([], "person string, generation int")
-    near = none
+def quality_report(spark: SparkSession, path: str, as_of_year: int, root: str | None = None, resolver: Callable | None = None) -> str:
+    """The Markdown report of one file; a file that can't be read gives a diagnostic report. A resolver may explain the first findings."""
+    try:
+        ls = settle(gedcom.strict(gedcom.lines(gedcom.read_texts(spark, [path]))))
+    except Exception as e:
+        if "Invalid GEDCOM line" not in str(e) and not isinstance(e, gedcom.GedcomError):
+            raise
+        return quality.parse_diagnostic(path.rsplit("/", 1)[-1], ValueError(next((t for t in str(e).splitlines() if "Invalid GEDCOM line" in t), str(e))))
+    recs, bs = settle(gedcom.records(ls)), settle(gedcom.blocks(ls))
     if root:
-        near = quality.generations(gedcom.parent_edges(gedcom.family_edges(gedcom.blocks(ls), gedcom.records(ls))), root)
-    return quality.report(found, near)
+        root = find_root(gedcom.persons(bs, recs), root)
+    found = settle(quality.tree_findings(ls, as_of_year, root))
+    if not root:
+        none = spark.createDataFrame([], "person string, generation int")
+        return quality.report(found, none, notes=quality.annotate(found, none, resolver) if resolver else None)
+    parents = gedcom.parent_edges(gedcom.family_edges(bs, recs))
+    near = settle(quality.generations(parents, root))
+    return quality.report(found, near, relations=quality.parentage(parents, gedcom.person_edges(bs, recs), near), notes=quality.annotate(found, near, resolver) if resolver else None)
 
 
-def export_tree(spark: SparkSession, tree: str, out: str, living: str = "exclude", version: str = "5.5.5") -> None:
-    """Writes a SQLite tree as GEDCOM; it is read from a copy that is checked not to have changed meanwhile."""
-    gedcom_writer.write_gedcom(sqlite_tree.export_lines(spark, sqlite_tree.snapshot(tree), living), out, version)
+def export_tree(spark: SparkSession, tree: str, out: str, living: str = "exclude", version: str = "5.5.5", folder: str | None = None, root: str | None = None, scope: str = "connected", generations: int | None = None) -> DataFrame:
+    """Writes a SQLite tree, or a scope of it around a root, as GEDCOM and gives (table_name, n_rows, lost): what of it isn't in the file.
+
+    The tree is read from a copy that is checked not to have changed meanwhile, in a folder that all executors share. The file is
+    checked before it counts; a faulty one is an error.
+    """
+    copy = sqlite_tree.snapshot(tree, folder)
+    sqlite_tree.check_rows(copy)
+    lines = settle(sqlite_tree.export_lines(spark, copy, living, root, scope, generations))
+    gedcom_writer.write_gedcom(lines, out, version)
+    text = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select(F.lit("out").alias("source"), F.lit(1).alias("ord"), F.decode("content", "UTF-8").alias("text"))
+    bad = gedcom_writer.faults(gedcom.lines(text), version).limit(5).collect()
+    if bad:
+        raise gedcom.GedcomError(f"the export is faulty: {[(r['pos'], r['fault']) for r in bad]}")
+    return sqlite_tree.export_losses(spark, copy, lines, living, root, scope, generations)
 
 
 def accounting(result: Merge) -> dict[str, int]:

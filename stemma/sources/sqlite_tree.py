@@ -35,7 +35,7 @@ COLUMNS = {
     "media": {"id": ("mediaid",), "owner": ("ownerid", "personid"), "family": ("familyid",), "file": ("mediafile", "file", "path")},
 }
 FACT_TAGS = {"birth": "BIRT", "death": "DEAT", "marriage": "MARR", "burial": "BURI", "christen": "CHR", "baptism": "BAPM", "occupation": "OCCU", "residence": "RESI", "divorce": "DIV"}
-MAX_ROWS, ROWS_PER_PARTITION = 5_000_000, 200_000
+MAX_ROWS, ROWS_PER_PARTITION, MAX_BYTES, MAX_ROW_BYTES = 5_000_000, 200_000, 8 * 1024**3, 16 * 1024**2
 
 
 def list_trees(roots: list[str]) -> list[str]:
@@ -62,11 +62,32 @@ def open_read_only(path: str) -> sqlite3.Connection:
     return c
 
 
+def _digest(path: str) -> str:
+    """The hash of a file and of the log beside it, a piece at a time."""
+    h = hashlib.sha256()
+    for p in (Path(path), Path(f"{path}-wal")):
+        if p.exists():
+            h.update(p.name[-4:].encode())
+            with p.open("rb") as f:
+                while piece := f.read(1 << 20):
+                    h.update(piece)
+    return h.hexdigest()
+
+
 def snapshot(path: str, folder: str | None = None) -> str:
-    """A copy to read from, verified not to have changed meanwhile; on a cluster `folder` must be one that all executors share."""
-    digest = lambda p: hashlib.sha256(Path(p).read_bytes()).hexdigest()
-    before = digest(path)
-    copy = f"{folder or tempfile.mkdtemp(prefix='stemma-tree-')}/{before[:20]}.rmtree"
+    """A copy to read from, verified not to have changed meanwhile, its log included.
+
+    The folder must be one that all executors share; only in a local session one of this machine is made where none is given.
+    """
+    if folder is None:
+        session = SparkSession.getActiveSession()
+        if session is not None and not session.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster the copy needs a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stemma-tree-")
+    if Path(path).stat().st_size > MAX_BYTES:
+        raise ValueError(f"the tree has more than {MAX_BYTES} bytes")
+    before = _digest(path)
+    copy = f"{folder}/{before[:20]}.rmtree"
     shutil.copyfile(path, copy)
     if Path(f"{path}-wal").exists():
         shutil.copyfile(f"{path}-wal", f"{copy}-wal")
@@ -74,11 +95,21 @@ def snapshot(path: str, folder: str | None = None) -> str:
         c.execute("pragma wal_checkpoint(truncate)")
         c.execute("pragma journal_mode = delete")
         c.close()
-    if digest(path) != before:
+    if _digest(path) != before:
         raise OSError("the tree changed while it was read")
     return copy
 
 
+def check_rows(path: str, most: int | None = None) -> int:
+    """The number of rows of all tables; more than MAX_ROWS are an error before anything is read."""
+    most = MAX_ROWS if most is None else most
+    with open_read_only(path) as c:
+        n = sum(c.execute(f'select count(*) from "{t}"').fetchone()[0] for t in table_columns(path))
+    if n > most:
+        raise ValueError(f"the tree has {n} rows, {most} are allowed")
+    return n
+
+
 def table_columns(path: str) -> dict[str, list[tuple[str, str]]]:
     """Tables with their columns and declared types, read from the texts that created them."""
     out = {}
@@ -129,27 +160,34 @@ def _cell(value: object, kind: T.DataType) -> object:
 
 
 class Rows(InputPartition):
-    def __init__(self, low: int, high: int) -> None:
+    def __init__(self, low: int | None, high: int | None) -> None:
         self.low, self.high = low, high
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, path: str, table: str, schema: T.StructType) -> None:
-        self.path, self.table, self.kinds = path, table, schema
+    def __init__(self, path: str, table: str, schema: T.StructType, rows: int) -> None:
+        self.path, self.table, self.kinds, self.rows = path, table, schema, rows
 
     def partitions(self) -> list[Rows]:
-        """Ranges of row ids, so that large tables are read by several tasks."""
+        """Ranges of row ids with equal numbers of rows, so that large tables are read by several tasks; a table without row ids is read by one."""
         with open_read_only(self.path) as c:
-            low, high = c.execute(f'select min(rowid), max(rowid) from "{self.table}"').fetchone()
-        if low is None:
+            try:
+                starts = [r[0] for r in c.execute(f'select rowid from (select rowid, row_number() over (order by rowid) n from "{self.table}") where n % ? = 1 order by 1', (self.rows,))]
+            except sqlite3.OperationalError:
+                return [Rows(None, None)]
+        if not starts:
             return [Rows(0, 0)]
-        return [Rows(a, min(a + ROWS_PER_PARTITION, high + 1)) for a in range(low, high + 1, ROWS_PER_PARTITION)]
+        return [Rows(a, b) for a, b in zip(starts, [*starts[1:], None], strict=True)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
         columns = ", ".join(f'"{f.name}"' for f in self.kinds.fields)
+        bounds = [(op, v) for op, v in ((">=", partition.low), ("<", partition.high)) if v is not None]
+        where = " and ".join(f"rowid {op} ?" for op, _ in bounds)
         with open_read_only(self.path) as c:
             c.text_factory = lambda b: b.decode("utf-8", "replace")
-            for row in c.execute(f'select {columns} from "{self.table}" where rowid >= ? and rowid < ?', (partition.low, partition.high)):
+            for row in c.execute(f'select {columns} from "{self.table}"' + (f" where {where}" if where else ""), [v for _, v in bounds]):
+                if sum(len(v) for v in row if isinstance(v, (str, bytes))) > MAX_ROW_BYTES:
+                    raise ValueError(f"a row of {self.table} has more than {MAX_ROW_BYTES} bytes")
                 yield tuple(_cell(v, f.dataType) for v, f in zip(row, self.kinds.fields, strict=True))
 
 
@@ -165,15 +203,15 @@ class SqliteTree(DataSource):
         return T.StructType([T.StructField(n, spark_type(d)) for n, d in columns])
 
     def reader(self, schema: T.StructType) -> TreeReader:
-        return TreeReader(self.options["path"], self.options["table"], schema)
+        return TreeReader(self.options["path"], self.options["table"], schema, int(self.options.get("rowsPerPartition", ROWS_PER_PARTITION)))
 
 
-def read_table(spark: SparkSession, path: str, table: str) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, table: str, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame | None:
     """A table of the tree, or None if there is no such table."""
     if table.lower() not in {t.lower() for t in table_columns(path)}:
         return None
     spark.dataSource.register(SqliteTree)
-    return spark.read.format("sqlite_tree").option("path", path).option("table", table).load()
+    return spark.read.format("sqlite_tree").option("path", path).option("table", table).option("rowsPerPartition", rows_per_partition).load()
 
 
 def logical_tables(path: str) -> dict[str, str]:
@@ -268,32 +306,104 @@ def publishable_sources(spark: SparkSession, path: str, safe: DataFrame) -> Data
     return safe_only(logical(spark, path, "source").select("id"), uses, "id", F.col("ok"))
 
 
-def export_lines(spark: SparkSession, path: str, living: str = "exclude") -> DataFrame:
+def in_scope(spark: SparkSession, path: str, living: str = "exclude", root: str | None = None, kind: str = "connected", generations: int | None = None) -> DataFrame:
+    """The persons that are exported: those of the living policy, in the scope of the root if there is one."""
+    p = people(spark, path, living)
+    return p if root is None else p.join(scope(spark, path, root, kind, generations).select(F.col("node").alias("id")), "id", "left_semi")
+
+
+def unmapped(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """(id, tag, value): filled columns of a logical table that nothing maps, under the tags that keep them; bytes are left out."""
+    from stemma.functions.normal import retained_tag
+    from stemma.operators.relations import unpivot_rest
+
+    actual = logical_tables(path).get(kind)
+    if actual is None:
+        return None
+    df = read_table(spark, path, actual)
+    used = {n for names in COLUMNS[kind].values() for n in names}
+    key = next((c for c in df.columns if c.lower() in COLUMNS[kind]["id"]), None)
+    rest = [f.name for f in df.schema.fields if f.name.lower() not in used and not isinstance(f.dataType, T.BinaryType)]
+    if key is None or not rest:
+        return None
+    slim = df.select(F.col(f"`{key}`").cast("string").alias("id"), *(F.col(f"`{c}`") for c in rest if c != "id"))
+    return unpivot_rest(slim, "id", []).select("id", retained_tag(F.col("field")).alias("tag"), F.regexp_replace("value", r"[\r\n]+", " ").alias("value"))
+
+
+def _attached(spark: SparkSession, path: str, kind: str, owners: DataFrame) -> DataFrame | None:
+    """Rows of notes, citations or media whose owner is exported, in the order of their ids."""
+    rows = logical(spark, path, kind)
+    return None if rows is None else rows.where("owner is not null").join(owners.select(F.col("id").alias("owner")), "owner", "left_semi")
+
+
+def export_lines(spark: SparkSession, path: str, living: str = "exclude", root: str | None = None, kind: str = "connected", generations: int | None = None) -> DataFrame:
     """(source, ord, rec, pos, level, xref, tag, value): a tree as GEDCOM lines, ready for the writer.
 
-    People and families are numbered in the order of their ids; families keep members that are exported only.
+    People, families and sources are numbered in the order of their ids. Families keep members that are exported only. People bring
+    their events, notes, citations of sources that only safe owners cite, media, and the columns that nothing maps; those who are
+    redacted bring none.
     """
     from stemma.operators.relations import ranked, semantic_key
 
-    p = ranked(people(spark, path, living), [semantic_key(F.col("id"))], "n")
+    no = F.lit("")
+    typed = "array<struct<level: int, xref: string, tag: string, value: string>>"
+    line = lambda level, xr, tag, value: F.struct(F.lit(level).alias("level"), xr.alias("xref"), (tag if isinstance(tag, Column) else F.lit(tag)).alias("tag"), F.coalesce(value, no).alias("value"))
+    p = ranked(in_scope(spark, path, living, root, kind, generations), [semantic_key(F.col("id"))], "n")
     f = ranked(logical(spark, path, "family").where("id is not null"), [semantic_key(F.col("id"))], "n")
     xref = p.select("id", F.concat(F.lit("@I"), "n", F.lit("@")).alias("x"))
-    line = lambda level, xr, tag, value: F.struct(F.lit(level).alias("level"), xr.alias("xref"), F.lit(tag).alias("tag"), F.coalesce(value, F.lit("")).alias("value"))
-    no = F.lit("")
+    safe = p.where("not redacted").select("id")
+    # (id, part, key, lines): what each person brings, in the order of part and key
     name = F.concat(F.coalesce("given", no), F.lit(" /"), F.coalesce("surname", no), F.lit("/"))
-    ev = events(spark, path).where("owner_kind = 'person'").select(F.col("owner").alias("id"), F.struct("tag", "date", "place", "detail", F.col("id").alias("e")).alias("e"))
-    mine = ev.join(p.where("not redacted").select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    typed = "array<struct<level: int, xref: string, tag: string, value: string>>"
-    event_lines = F.flatten(F.transform(F.coalesce("es", F.array().cast(ev.groupBy("id").agg(F.collect_list("e").alias("es")).schema["es"].dataType)), lambda e: F.filter(
-        F.array(F.struct(F.lit(1).alias("level"), no.alias("xref"), e["tag"].alias("tag"), F.coalesce(e["detail"], no).alias("value")), line(2, no, "DATE", e["date"]), line(2, no, "PLAC", e["place"])).cast(typed), lambda x: (x["level"] == 1) | (x["value"] != ""),
-    )))
-    person_lines = p.join(mine, "id", "left").select(F.col("n").alias("rec"), F.posexplode(F.concat(F.array(line(0, F.concat(F.lit("@I"), "n", F.lit("@")), "INDI", no), line(1, no, "NAME", name), line(1, no, "SEX", F.col("gender"))).cast(typed), event_lines)).alias("pos", "l"))
+    parts = [p.select("id", F.lit(0).alias("part"), F.lit("").alias("key"), F.array(line(0, F.concat(F.lit("@I"), "n", F.lit("@")), "INDI", no), line(1, no, "NAME", name), line(1, no, "SEX", F.col("gender"))).cast(typed).alias("lines"))]
+
+    def bring(df: DataFrame | None, part: int, owner: str, key: str, *rows: Column) -> None:
+        if df is not None:
+            given = F.filter(F.array(*rows).cast(typed), lambda x: (x["level"] == 1) | (x["value"] != ""))
+            parts.append(df.select(F.col(owner).alias("id"), F.lit(part).alias("part"), F.col(key).alias("key"), given.alias("lines")).join(safe, "id", "left_semi"))
+
+    if logical(spark, path, "event") is not None:
+        bring(events(spark, path).where("owner_kind = 'person'").withColumnRenamed("id", "e"), 1, "owner", "e", line(1, no, F.col("tag"), F.col("detail")), line(2, no, "DATE", F.col("date")), line(2, no, "PLAC", F.col("place")))
+    bring(_attached(spark, path, "note", safe), 2, "owner", "id", line(1, no, "NOTE", F.col("text")))
+    sources = None
+    if logical(spark, path, "citation") is not None and logical(spark, path, "source") is not None:
+        ids = publishable_sources(spark, path, safe).distinct()
+        sources = ranked(logical(spark, path, "source").join(ids, "id", "left_semi"), [semantic_key(F.col("id"))], "n")
+        cites = _attached(spark, path, "citation", safe).join(sources.select(F.col("id").alias("source"), F.concat(F.lit("@S"), "n", F.lit("@")).alias("sx")), "source")
+        bring(cites, 3, "owner", "id", line(1, no, "SOUR", F.col("sx")))
+    bring(_attached(spark, path, "media", safe), 4, "owner", "id", line(1, no, "OBJE", no), line(2, no, "FILE", F.col("file")))
+    bring(unmapped(spark, path, "person"), 5, "id", "tag", line(1, no, F.col("tag"), F.col("value")))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    whole = every.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", semantic_key(F.col("key")).alias("k"), "lines"))), lambda x: x["lines"])).alias("lines"))
+    person_lines = whole.join(p.select("id", "n"), "id").select(F.col("n").alias("rec"), F.posexplode("lines").alias("pos", "l"))
     member = lambda col, tag: f.select("n", F.col(col).alias("id")).join(xref, "id").select("n", F.lit(tag).alias("tag"), "x")
     ch = logical(spark, path, "child").join(f.select(F.col("id").alias("family"), "n"), "family").select("n", F.col("child").alias("id")).join(xref, "id").select("n", F.lit("CHIL").alias("tag"), "x")
     members = member("father", "HUSB").unionAll(member("mother", "WIFE")).unionAll(ch).groupBy("n").agg(F.array_sort(F.collect_set(F.struct(F.when(F.col("tag") == "HUSB", 0).when(F.col("tag") == "WIFE", 1).otherwise(2).alias("o"), "x", "tag"))).alias("ms"))
     base = p.agg(F.coalesce(F.max("n"), F.lit(0)).alias("people"))
+    # one row
     fam_lines = members.join(F.broadcast(base), F.lit(True)).select(
         (F.col("n") + F.col("people")).alias("rec"),
-        F.posexplode(F.concat(F.array(line(0, F.concat(F.lit("@F"), "n", F.lit("@")), "FAM", no)), F.transform("ms", lambda m: F.struct(F.lit(1).alias("level"), no.alias("xref"), m["tag"].alias("tag"), m["x"].alias("value"))))).alias("pos", "l"),
+        F.posexplode(F.concat(F.array(line(0, F.concat(F.lit("@F"), "n", F.lit("@")), "FAM", no)), F.transform("ms", lambda m: F.struct(F.lit(1).alias("level"), no.alias("xref"), m["tag"].alias("tag"), m["x"].alias("value")))).cast(typed)).alias("pos", "l"),
     )
-    return person_lines.unionAll(fam_lines).select(F.lit("tree").alias("source"), F.lit(1).alias("ord"), F.col("rec").cast("long").alias("rec"), "pos", "l.level", "l.xref", "l.tag", "l.value")
+    out = person_lines.unionAll(fam_lines)
+    if sources is not None:
+        top = f.agg(F.coalesce(F.max("n"), F.lit(0)).alias("families"))
+        out = out.unionAll(sources.join(F.broadcast(base), F.lit(True)).join(F.broadcast(top), F.lit(True)).select((F.col("n") + F.col("people") + F.col("families")).alias("rec"), F.posexplode(F.array(line(0, F.concat(F.lit("@S"), "n", F.lit("@")), "SOUR", no), line(1, no, "TITL", F.col("text"))).cast(typed)).alias("pos", "l")))
+    return out.select(F.lit("tree").alias("source"), F.lit(1).alias("ord"), F.col("rec").cast("long").alias("rec"), "pos", "l.level", "l.xref", "l.tag", "l.value")
+
+
+def export_losses(spark: SparkSession, path: str, lines: DataFrame, living: str = "exclude", root: str | None = None, kind: str = "connected", generations: int | None = None) -> DataFrame:
+    """(table_name, n_rows, lost): rows of each table of the tree that have no line in an export; only tables that lose any."""
+    from stemma.operators.relations import losses
+
+    have = logical_tables(path)
+    heads = lambda tag: lines.where((F.col("level") == 0) & (F.col("tag") == tag))
+    tops = lambda *tags: lines.where((F.col("level") == 1) & F.col("tag").isin(*tags))
+    safe = in_scope(spark, path, living, root, kind, generations).where("not redacted").select("id")
+    written = {"person": heads("INDI"), "family": heads("FAM"), "child": tops("CHIL"), "source": heads("SOUR"), "citation": tops("SOUR"), "note": tops("NOTE"), "media": tops("OBJE")}
+    if "name" in have:
+        written["name"] = in_scope(spark, path, living, root, kind, generations).where("not redacted and (given is not null or surname is not null)")
+    if "event" in have:
+        written["event"] = events(spark, path).where("owner_kind = 'person'").select(F.col("owner").alias("id")).join(safe, "id", "left_semi")
+    return losses([(have[k], read_table(spark, path, have[k]), w) for k, w in written.items() if k in have])
