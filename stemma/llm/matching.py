@@ -344,7 +344,8 @@ def _transitive(scored: DataFrame, people: DataFrame, mix: Mixture, names: list[
     pair = lambda x, y: F.when(F.col(x) != F.col(y), F.struct(F.least(x, y).alias("l"), F.greatest(x, y).alias("r")))
     rivals = contested.select(F.explode(F.array_compact(F.array(pair("r", "best_r"), pair("l", "best_l")))).alias("v")).select("v.l", "v.r").repartition("l").distinct()
     # a record that matches both under two surnames vouches for the surnames, not for the rest
-    new = rivals if known is None else rivals.join(known.select("l", "r"), ["l", "r"], "left_anti")
+    # after the first round few are new; written first, so that Spark knows how few
+    new = settle(rivals if known is None else rivals.join(known.select("l", "r"), ["l", "r"], "left_anti"))
     new = settle(compared(new, people, people).withColumn("surname", F.lit(GRID["surname"]).cast("tinyint")))
     known = new if known is None else known.unionByName(new)
     d = _posterior(known, mix, names).select(F.col("l").alias("s1"), F.col("r").alias("s2"), F.col("q"))

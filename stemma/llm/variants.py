@@ -151,7 +151,8 @@ def name_classes(rows: DataFrame, row_id: str = "nameid", group: str = "tree_fil
     forms = settle(read.withColumn("block", F.xxhash64(group, "kind", F.substring("first", 1, 1))).withColumn("form", F.xxhash64(group, "kind", *parts)))
     distinct = settle(forms.select("form", "block", *parts).distinct())
     near = segment_join(distinct.select("block", F.col("surname").alias("name")), ["block"])
-    near = near.unionAll(near.select("block", F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("d", F.levenshtein("a", "b"))
+    # both directions of one pass
+    near = near.select("block", F.levenshtein("a", "b").alias("d"), F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("block", "p.a", "p.b", "d")
     own = distinct.select("block", F.col("surname").alias("a")).distinct().select("block", "a", F.col("a").alias("b"), F.lit(0).alias("d"))
     x = distinct.select("block", F.col("surname").alias("a"), F.col("form").alias("fx"), *(F.col(c).alias(f"{c}_x") for c in parts[1:]))
     y = distinct.select("block", F.col("surname").alias("b"), F.col("form").alias("fy"), *(F.col(c).alias(f"{c}_y") for c in parts[1:]))
