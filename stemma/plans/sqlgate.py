@@ -146,3 +146,16 @@ def collect_in_time(df: DataFrame, seconds: float = MAX_SECONDS) -> list:
     finally:
         timer.cancel()
         sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def question(spark: SparkSession, d: str, text: str, ask, cap: int = MAX_ROWS) -> tuple[str, Result]:  # noqa: ANN001
+    """(SQL, rows) for a question in words: `ask` gets the question and the columns of each table, and gives one statement, which is admitted like any other."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(d)
+    names = sorted(s.getPath().getName().removesuffix(".parquet") for s in path.getFileSystem(conf).listStatus(path) if s.getPath().getName().endswith(".parquet"))
+    schema = {n: [f"{f.name} {f.dataType.simpleString()}" for f in table(spark, d, n).schema.fields] for n in names}
+    answer = ask(text, schema)
+    sql = answer.get("sql") if isinstance(answer, dict) else answer
+    if not isinstance(sql, str) or not sql.strip():
+        raise SqlRejected("SQL_REJECTED: no statement was given")
+    return sql, capped(spark, d, sql, cap)

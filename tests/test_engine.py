@@ -54,6 +54,16 @@ def test_gate_leaves_texts_alone(spark, tmp_path):
     assert sqlgate.run(spark, d, "with recursive r(i) as (select 1 union all select i + 1 from r where i < 4) select count(*) n from r").first()["n"] == 4
 
 
+def test_questions(spark, tmp_path):
+    spark.range(7).write.parquet(str(tmp_path / "t.parquet"))
+    d, seen = f"file://{tmp_path}", []
+    sql, r = sqlgate.question(spark, d, "how many?", lambda q, s: seen.append((q, s)) or {"sql": "select count(*) n from t"})
+    assert (sql, r.rows.first()["n"], seen) == ("select count(*) n from t", 7, [("how many?", {"t": ["id bigint"]})])
+    for bad in ("drop table t", "", None, {"sql": 3}):
+        with pytest.raises(sqlgate.SqlRejected):
+            sqlgate.question(spark, d, "?", lambda q, s, bad=bad: bad)
+
+
 def test_stream_state_carries_on(spark, tmp_path):
     for n in range(3):
         blocks = [("p", f"h{n}", n), *([("p", "twice", n)] if n < 2 else [])]
