@@ -285,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, codes: list[str]) -> Model:
         at = np.minimum(np.searchsorted(k, h), max(len(k) - 1, 0)) if len(k) else np.zeros(len(h), dtype=np.int64)
         known = k[at] == h if len(k) else np.zeros(len(h), dtype=bool)
         blob = _pack(
-            y=y, codes=c.codes.astype(np.int32), sentence=c.sentence.astype(np.int32), document=c.document.astype(np.int32), rows=at[known].astype(np.int32), owner=owner[known].astype(np.int32),
+            y=y, codes=c.codes.astype(np.int32), sentence=c.sentence.astype(np.int32), document=c.document.astype(np.int32), rows=at[known].astype(np.int32), touched=np.unique(at[known]).astype(np.int32), owner=owner[known].astype(np.int32),
             parts=np.bincount(owner, minlength=len(c.hashes)).astype(np.int32), word=np.where(known, at, -1)[: len(c.hashes)].astype(np.int32),
         )
         return pd.DataFrame({"worker": [int(part["worker"].iloc[0])], "n": [len(part)], "words": [len(c.codes)], "blob": [blob]})
@@ -308,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, codes: list[str]) -> Model:
                     m = Model(*known.value, embeddings.astype(np.float64), weights, outputs, codes)
                     _, e, w, bias = gradient(Prepared.load(z, m), z["y"], m)
                     # only what the worker's documents touch
-                    rows = np.unique(z["rows"])
+                    rows = z["touched"]
                     yield pd.DataFrame({"worker": [worker], "blob": [_pack(e=e[rows].astype(np.float32), rows=rows, w=w, bias=bias)]})
 
         sums = {"e": np.zeros_like(model.embeddings), "w": np.zeros_like(model.weights), "bias": np.zeros_like(model.bias)}

@@ -17,28 +17,36 @@ from stemma.tables import settle
 
 __all__ = ["LONG", "SHORT", "class_pairs", "name_classes", "read_forms", "segment_join"]
 
-READ = T.StructType([*(T.StructField(n, T.StringType()) for n in ("surname", "first", "middle", "suffix")), T.StructField("words", T.ArrayType(T.StringType()))])
+_TEXT, _WORDS = T.StringType(), T.ArrayType(T.StringType())
+READ = T.StructType([
+    T.StructField("at", T.IntegerType()), *(T.StructField(n, _TEXT) for n in ("surname", "first", "middle", "suffix")), T.StructField("words", _WORDS), T.StructField("suffix_0", _TEXT), T.StructField("words_0", _WORDS),
+])
 PERSON, ORGANISATION = "person", "organisation"
 #: A word beside more different words than this is no name of its own, if the rarest word of its name has a tenth of them at most.
 COMPANY = 10
 
 
 def read_spellings(rows: DataFrame, row_id: str, group: str) -> DataFrame:
-    """(row_id, group, type, at, surname, first, middle, suffix, words): one row for each spelling, read both as a person and as words.
+    """(row_id, group, type, at, surname, first, middle, suffix, words, suffix_0, words_0): one row for each spelling, read both as a person and as words.
 
-    at is 0 for the first spelling of a row. Empty and null names give none.
+    at is 0 for the first spelling of a row; the others also have the suffix and the words of the first. Empty and null names give none.
     """
-    spelled = rows.select(
-        row_id, group, F.coalesce("name_type", F.lit("")).alias("type"),
-        F.posexplode(F.array_distinct(F.filter(F.concat(F.array("full_name"), F.coalesce("alternate_names", F.array().cast("array<string>"))), lambda s: F.trim(s) != ""))).alias("at", "name"),
-    )
+    names = F.array_distinct(F.filter(F.concat(F.array("full_name"), F.coalesce("alternate_names", F.array().cast("array<string>"))), lambda s: F.trim(s) != ""))
+    spelled = rows.select(row_id, group, F.coalesce("name_type", F.lit("")).alias("type"), names.alias("names")).where(F.size("names") > 0)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = pd.DataFrame([(*read_name(name), read_words(name)) for name in b["name"]], columns=READ.names)
-            yield pd.concat([b.drop(columns="name").reset_index(drop=True), out], axis=1)
-
-    schema = spelled.drop("name").schema
+            of, out = [], []
+            for i, spellings in enumerate(b["names"]):
+                first = None
+                for at, name in enumerate(spellings):
+                    one = (*read_name(name), read_words(name))
+                    of.append(i)
+                    out.append((at, *one, first and first[3], first and first[4]))
+                    first = first or one
+            yield pd.concat([b.drop(columns="names").iloc[of].reset_index(drop=True), pd.DataFrame(out, columns=READ.names)], axis=1)
+
+    schema = spelled.drop("names").schema
     return spelled.mapInPandas(read, T.StructType([*schema.fields, *READ.fields]))
 
 
@@ -63,11 +71,8 @@ def tell_types(read: DataFrame, row_id: str) -> DataFrame:
     return typed.withColumn("type", F.when(F.col("type").isin(PERSON, ORGANISATION), F.col("type")).otherwise(F.coalesce("likely", F.lit(PERSON)))).drop("likely")
 
 
-def told_pairs(read: DataFrame, row_id: str, x: Column, y: Column) -> DataFrame:
-    """(x, y, n): what the first spelling of a row has (x, an expression over a.) where another one has y (over b.); each may be an array of pairs' sides."""
-    a, b = read.where("at = 0").alias("a"), read.where("at > 0").drop("type").alias("b")
-    met = a.join(b, F.col(f"a.{row_id}") == F.col(f"b.{row_id}")).select(F.explode(F.arrays_zip(x.alias("x"), y.alias("y"))).alias("t"))
-    return met.where("t.x is not null and t.y is not null and t.x != '' and t.y != ''").groupBy(F.col("t.x").alias("x"), F.col("t.y").alias("y")).agg(F.count("*").alias("n"))
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.where("x is not null and y is not null and x != '' and y != ''").groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
 def _expansions(words: DataFrame) -> DataFrame:
@@ -79,18 +84,18 @@ def _expansions(words: DataFrame) -> DataFrame:
 
 
 def read_organisations(orgs: DataFrame, row_id: str, group: str) -> DataFrame:
-    """(row_id, group, kind, surname): the distinctive words of each organisation's spelling, and the class of its other words.
+    """(row_id, group, at, kind, surname): the distinctive words of each organisation's spelling, and the class of its other words.
 
     Words are unified first: those that owners use in place of each other, slips, and abbreviations. A word is distinctive
     if it stands beside few different words, itself or compared with the others of its name. The rest, such as
     "historical society", is a frame; frames are of one kind if owners use them in place of each other.
     """
     words = orgs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
-    only_a, only_b = F.array_except("a.words", "b.words"), F.array_except("b.words", "a.words")
-    shared = F.array_intersect("a.words", "b.words")
-    one = (F.size(only_a) == 1) & (F.size(only_b) == 1)
-    none = F.array().cast("array<string>")
-    told = told_pairs(orgs, row_id, F.concat(shared, F.when(one, only_a).otherwise(none)), F.concat(shared, F.when(one, only_b).otherwise(none)))
+    # what the first spelling of a row has where another one has something else, or the same
+    only_a, only_b, shared = F.array_except("words_0", "words"), F.array_except("words", "words_0"), F.array_intersect("words_0", "words")
+    one = F.when((F.size(only_a) == 1) & (F.size(only_b) == 1), F.array(F.struct(F.get(only_a, F.lit(0)).alias("x"), F.get(only_b, F.lit(0)).alias("y"))))
+    same = F.transform(shared, lambda w: F.struct(w.alias("x"), w.alias("y")))
+    told = _counted(orgs.where("at > 0").select(F.explode(F.concat(same, F.coalesce(one, F.array().cast("array<struct<x: string, y: string>>")))).alias("t")).select("t.*"))
     classes = word_classes(words, told)
     bound = classes.select("word")
     expanded = _expansions(words).join(bound, "word", "left_anti")
@@ -109,28 +114,29 @@ def read_organisations(orgs: DataFrame, row_id: str, group: str) -> DataFrame:
     split = settle(split.select(
         row_id, group, "at", F.array_join(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("frame")), "").alias("surname"),
         F.when(F.size("own") > 0, F.array_join("frame", " ")).otherwise("").alias("frame"),
-    ).withColumn("surname", F.regexp_replace("surname", r"\.", "")).withColumn("frame", F.regexp_replace("frame", r"\.", "")).withColumn("type", F.lit(ORGANISATION)))
+    ).withColumn("surname", F.regexp_replace("surname", r"\.", "")).withColumn("frame", F.regexp_replace("frame", r"\.", "")))
     frames = split.where("frame != ''").groupBy(F.col("frame").alias("word")).agg(F.count("*").alias("f"))
-    kinds = word_classes(frames, told_pairs(split, row_id, F.array("a.frame"), F.array("b.frame")), by_sound=False)
-    return with_roots(split, kinds.select("word", "root"), ["frame"]).select(row_id, group, F.concat(F.lit("organisation "), F.col("frame")).alias("kind"), "surname")
+    firsts = split.where("at = 0").select(row_id, F.col("frame").alias("x"))
+    kinds = word_classes(frames, _counted(split.where("at > 0").select(row_id, F.col("frame").alias("y")).join(firsts, row_id)), by_sound=False)
+    return with_roots(split, kinds.select("word", "root"), ["frame"]).select(row_id, group, "at", F.concat(F.lit("organisation "), F.col("frame")).alias("kind"), "surname")
 
 
 def read_forms(rows: DataFrame, row_id: str, group: str, evidence: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """(row_id, group, kind, surname, first, middle, suffix) for each spelling of each row, and whether suffixes are left out at times.
+    """(row_id, group, at, kind, surname, first, middle, suffix) for each spelling of each row, and whether suffixes are left out at times.
 
     kind is empty for a person, else what sort of organisation it is. Given names are replaced by their roots.
     """
     read = settle(read_spellings(rows, row_id, group))
     typed = settle(tell_types(read, row_id))
-    people = typed.where(F.col("type") == PERSON).drop("words")
+    people = typed.where(F.col("type") == PERSON).drop("words", "words_0")
     spelled = rows.where(F.col("name_type") == PERSON).select("full_name", "alternate_names")
     classes = given_classes(people, spelled if evidence is None else spelled.unionByName(evidence.select("full_name", "alternate_names")))
-    persons = with_roots(people, classes, ["first", "middle"]).select(row_id, group, F.lit("").alias("kind"), "surname", "first", "middle", "suffix")
-    orgs = read_organisations(typed.where(F.col("type") == ORGANISATION).select(row_id, group, "type", "at", "words"), row_id, group)
-    orgs = orgs.select(row_id, group, "kind", "surname", *(F.lit("").alias(c) for c in ("first", "middle", "suffix")))
+    persons = with_roots(people, classes, ["first", "middle"]).select(row_id, group, "at", F.lit("").alias("kind"), "surname", "first", "middle", "suffix")
+    orgs = read_organisations(typed.where(F.col("type") == ORGANISATION).select(row_id, group, "at", "words", "words_0"), row_id, group)
+    orgs = orgs.select(row_id, group, "at", "kind", "surname", *(F.lit("").alias(c) for c in ("first", "middle", "suffix")))
     # how often one row has a name with and without a suffix
-    sides = told_pairs(people, row_id, F.array(F.concat(F.lit("-"), F.col("a.suffix"))), F.array(F.concat(F.lit("-"), F.col("b.suffix")))).where("x != '-' or y != '-'")
-    kept = sides.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("x") != F.col("y"), F.col("n"))).alias("cut")).first()
+    cut = F.count_if(F.col("suffix") != F.col("suffix_0")).alias("cut")
+    kept = people.where("at > 0 and (suffix != '' or suffix_0 != '')").agg(F.count("*").alias("all"), cut).first()
     return persons.unionByName(orgs).where("surname != '' or first != ''"), ((kept["cut"] or 0) + 1) >= LEAST_SHARE * ((kept["all"] or 0) + 1)
 
 
@@ -181,8 +187,10 @@ def name_classes(rows: DataFrame, row_id: str = "nameid", group: str = "tree_fil
         agree = agree & ~(lacks(a) & ~lacks(b) & (b != F.col(f"told_{c}"))) & ~(lacks(b) & ~lacks(a) & (a != F.col(f"also_{c}")))
     links = pairs.where("fx < fy").join(told, "fx").join(other, "fy").where(agree).select(F.col("fx").alias("u"), F.col("fy").alias("v"))
     # spellings of one row belong together: its forms are linked to its smallest one
-    least = forms.groupBy(row_id).agg(F.min("form").alias("v"), F.max("form").alias("w")).where("v != w")
-    same_row = forms.join(least, row_id).where("form != v").select(F.col("form").alias("u"), "v").distinct()
+    several = settle(forms.where("at > 0").select(row_id).distinct())
+    theirs = settle(forms.join(several, row_id, "left_semi").select(row_id, "form"))
+    least = theirs.groupBy(row_id).agg(F.min("form").alias("v"))
+    same_row = theirs.join(least, row_id).where("form != v").select(F.col("form").alias("u"), "v").distinct()
     found = components(links.unionAll(same_row))
     placed = forms.join(found, F.col("form") == F.col("node"), "left").select(row_id, group, F.coalesce("component", "form").alias("c"))
     per_row = placed.groupBy(row_id, group).agg(F.min("c").alias("c"))
