@@ -61,6 +61,14 @@ def read(text: str | bytes, bounds: Bounds = Bounds()) -> object:
     return value
 
 
+def read_file(spark, path: str, bounds: Bounds = Bounds()) -> object:  # noqa: ANN001
+    """The value of one JSON file; its size is checked before it is read."""
+    row = spark.read.format("binaryFile").load(path).select("length").first()
+    if row["length"] > bounds.text_bytes:
+        raise JsonError(f"{row['length']} bytes, {bounds.text_bytes} are allowed")
+    return read(bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]), bounds)
+
+
 _TYPES = {
     "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str), "null": lambda v: v is None, "boolean": lambda v: isinstance(v, bool),
     "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer(), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),

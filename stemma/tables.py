@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -66,3 +67,5 @@ def _clean_at_exit() -> None:
     if spark is not None and spark.sparkContext._jsc is not None:
         with contextlib.suppress(Exception):  # the JVM may be gone
             clean(spark)
+    if _LOCAL:
+        shutil.rmtree(_LOCAL.removeprefix("file://"), ignore_errors=True)
