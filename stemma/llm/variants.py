@@ -66,7 +66,8 @@ def tell_types(read: DataFrame, row_id: str) -> DataFrame:
     told = unstated.join(weighed, "word").groupBy(row_id).agg(F.sum("weight").alias("weight"))
     # a prior as the totals have it
     prior = totals.select(F.log((F.col("all_o") + 1) / (F.col("all_p") + 1)).alias("prior"))
-    told = told.join(F.broadcast(prior), F.lit(True)).where(F.col("weight") + F.col("prior") > 0).select(row_id, F.lit(ORGANISATION).alias("likely"))
+    # few rows: those without a stated type that read as organisations
+    told = settle(told.join(F.broadcast(prior), F.lit(True)).where(F.col("weight") + F.col("prior") > 0).select(row_id, F.lit(ORGANISATION).alias("likely")))
     typed = read.join(told, row_id, "left")
     return typed.withColumn("type", F.when(F.col("type").isin(PERSON, ORGANISATION), F.col("type")).otherwise(F.coalesce("likely", F.lit(PERSON)))).drop("likely")
 
@@ -127,7 +128,7 @@ def read_forms(rows: DataFrame, row_id: str, group: str, evidence: DataFrame | N
     kind is empty for a person, else what sort of organisation it is. Given names are replaced by their roots.
     """
     read = settle(read_spellings(rows, row_id, group))
-    typed = settle(tell_types(read, row_id))
+    typed = tell_types(read, row_id)
     people = typed.where(F.col("type") == PERSON).drop("words", "words_0")
     spelled = rows.where(F.col("name_type") == PERSON).select("full_name", "alternate_names")
     classes = given_classes(people, spelled if evidence is None else spelled.unionByName(evidence.select("full_name", "alternate_names")))
