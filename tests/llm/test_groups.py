@@ -164,6 +164,30 @@ def test_posteriors_settle(spark, monkeypatch):
     assert np.abs(posts[-1] - posts[-2]).max() < 0.01
 
 
+def test_rounds_leave_people_where_they_lie(spark, monkeypatch):
+    """p1: only candidates are compared by shuffling all people, few new rivals are not; the ways to join agree; copies stay whole."""
+    r = random.Random(7)
+    firsts = ["Anna", "Robert", "Thomas", "Ursula", "Hugo", "Egon"]
+    left, right = [], []
+    for i in range(200):
+        s, f, y = f"{r.choice('BDFGKLM')}{r.choice('aeiou')}{r.choice('rstvz')}olo", r.choice(firsts), r.randint(1780, 1800)
+        left.append((i, f"{f} {s}", ["Anna Zettolo", None] if i % 9 == 0 else None, f"{r.randint(1, 28)} MAY {y}", r.choice(["Ely", "York", ""])))
+        right.append((1000 + i, f"{f if i % 3 else f[0] + '.'} {s}", [], left[-1][3] if i % 4 else f"ABT {y}", left[-1][4] if i % 5 else ""))
+    left += [left[1], (5000, *left[1][1:]), (5001, *left[1][1:])]
+    cols = "id long, full_name string, alternate_names array<string>, birth_date string, birth_place string"
+    sides, places = [spark.createDataFrame(rows, cols) for rows in (left, right)], spark.createDataFrame([], P)
+    calls, compared = [], matching.compared
+    monkeypatch.setattr(matching, "compared", lambda *x: calls.append(x) or compared(*x))
+    found = sorted((x["left_id"], x["right_id"], x["confidence"]) for x in matching.match(*sides, places).collect())
+    assert len(calls) == 1 and len(found) > 80
+    of = lambda i: [x[1:] for x in found if x[0] == i]
+    assert of(5000) and of(5000) == of(5001) and sorted(of(5000) * 2) == sorted(of(1))
+    monkeypatch.setattr(matching, "FEW", -1)
+    monkeypatch.setattr(matching, "HASHED", -1)
+    again = sorted((x["left_id"], x["right_id"], x["confidence"]) for x in matching.match(*sides, places).collect())
+    assert len(calls) > 2 and [x[:2] for x in again] == [x[:2] for x in found] and [x[2] for x in again] == pytest.approx([x[2] for x in found], abs=matching.SETTLED)
+
+
 def test_matching_nothing(spark):
     cols = "id long, full_name string, alternate_names array<string>, birth_date string, birth_place string"
     e = spark.createDataFrame([], cols)
